@@ -197,15 +197,15 @@ def atomic_batch(spark, folder):
     path = scratch_path(spark, "batches")
     docs = document_pages(spark, folder)
     chunks = chunking.recursive_chunks(docs).select("document_id", "piece_no", "lang")
-    for number, lang in enumerate(("en", "de")):
-        for _ in range(2):  # a retried batch replaces itself
+    for lang in ("en", "de"):
+        for _ in range(2):  # a repeated batch changes nothing
             tables.commit_batch(
                 path,
                 {"documents": docs.select("document_id", "lang").filter(F.col("lang") == lang), "chunks": chunks.filter(F.col("lang") == lang)},
-                number,
+                lang,
             )
     rest = docs.select("document_id", "lang").filter(~F.col("lang").isin("en", "de"))
-    rest.write.parquet(f"{path}/documents/batch=2")
+    rest.write.parquet(f"{path}/documents/batch=rest")
     seen = tables.read_committed(spark, path, "documents", "document_id bigint, lang string").groupBy("lang").agg(
         F.count(F.lit(1)).alias("documents")
     )

@@ -1 +1,38 @@
-"""Registered queries."""
+"""Streaming forms. Their final state equals a batch result, so both have SQL to compare with."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from passagework.operators import embedding
+from passagework.registry.base import DOC_PAGES_SQL, load, query, sql_chunk_tables
+from passagework.session import scratch_path
+from passagework.streaming import counter, ingest
+
+
+@query(
+    "stream_ingest",
+    f"""WITH {DOC_PAGES_SQL}, {sql_chunk_tables('pg', '2048')}
+SELECT sha256('doc/' || document_id) AS document_id, piece_no AS chunk_index, text AS content FROM ch""",
+)
+def stream_ingest(spark, folder):
+    """All documents arrive twice, the second time from a new checkpoint; the second pass must change nothing."""
+    src, out = scratch_path(spark, "incoming"), scratch_path(spark, "store")
+    uri = F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("uri")
+    load(spark, folder, "documents").select(uri, F.col("text").alias("content")).write.parquet(src)
+    for _ in range(2):
+        stream = spark.readStream.schema("uri string, content string").parquet(src)
+        job = ingest.stream_ingest(
+            stream, out, scratch_path(spark, "progress"), "one", embedding.hashing_provider(64), "hashing-64"
+        )
+        job.awaitTermination()
+    known = ingest.current_documents(spark, out).select(F.col("id").alias("document_id"))
+    stored = ingest.stored_chunks(spark, out).join(known, "document_id", "left_semi")
+    return stored.select("document_id", "chunk_index", "content")
+
+
+@query("stream_counter", "SELECT user_id, 5 + count(*) AS counter FROM events GROUP BY user_id")
+def stream_counter(spark, folder):
+    out = scratch_path(spark, "counters")
+    stream = spark.readStream.schema(load(spark, folder, "events").schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    counter.stream_counter(stream, "user_id", out, scratch_path(spark, "progress"), start=5).awaitTermination()
+    return counter.latest_counters(spark, out, "user_id")

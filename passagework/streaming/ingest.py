@@ -1,6 +1,7 @@
 """Incremental, replay-safe ingest: new source rows become documents, chunks and vectors once."""
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,32 +22,23 @@ CHUNK = (
 )
 
 
-def _committed(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
-    try:
-        return read_committed(spark, path, name, schema)
-    except Exception as missing:  # before the first commit there is no folder to read
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        return spark.createDataFrame([], f"{schema}, batch bigint")
-
-
 def current_documents(spark: SparkSession, path: str) -> DataFrame:
     """One row per uri as the upsert leaves it: values of the last batch that wrote it."""
-    rows = _committed(spark, path, "documents", DOCUMENT)
-    columns = [c for c in rows.columns if c not in ("uri", "batch")]
-    last = F.max_by(F.struct(*columns), "batch").alias("d")
+    rows = read_committed(spark, path, "documents", DOCUMENT)
+    columns = [c for c in rows.columns if c not in ("uri", "batch", "sequence")]
+    last = F.max_by(F.struct(*columns), "sequence").alias("d")
     return rows.groupBy("uri").agg(last).select("d.id", "uri", *[f"d.{c}" for c in columns if c != "id"])
 
 
 def stored_chunks(spark: SparkSession, path: str) -> DataFrame:
-    return _committed(spark, path, "chunks", CHUNK)
+    return read_committed(spark, path, "chunks", CHUNK)
 
 
 def ingest_batch(
-    rows: DataFrame, batch_id: int, path: str, config_hash: str, provider_factory: Callable, model: str,
+    rows: DataFrame, batch: str, path: str, config_hash: str, provider_factory: Callable, model: str,
     size: int, min_chars: int,
 ) -> None:
-    """One micro-batch of (uri, content STRING). A replayed batch id overwrites its own folders, nothing else."""
+    """One micro-batch of (uri, content STRING). A replayed batch replaces its own unfinished attempt, nothing else."""
     spark = rows.sparkSession
     once = rows.groupBy("uri").agg(F.max("content").alias("content"))
     documents = file_facts(once.select("uri", F.encode("content", "UTF-8").alias("content"))).withColumn(
@@ -59,8 +51,8 @@ def ingest_batch(
         "document_id", "chunk_index", F.col("text").alias("content"), "token_count",
         F.lit(config_hash).alias("extraction_config_hash"),
     )
-    # Known keys leave before the vectors are paid for. A replay must not see its own earlier attempt.
-    known = stored_chunks(spark, path).filter(F.col("batch") != batch_id).select(*CHUNK_KEY)
+    # Known keys leave before the vectors are paid for.
+    known = stored_chunks(spark, path).select(*CHUNK_KEY)
     fresh = embed_chunks(new_chunks(known, chunks), provider_factory, model, text="content")
     chunked = documents.join(chunks.select(F.col("document_id").alias("id")), "id", "left_semi")
     commit_batch(
@@ -69,7 +61,7 @@ def ingest_batch(
             "documents": chunked.select("id", "uri", "file_name", "mime_type", "byte_size", "content_hash"),
             "chunks": fresh.select("id", *[c for c in chunks.columns if c != "id"], "embedding", "embedding_model"),
         },
-        batch_id,
+        batch,
     )
 
 
@@ -79,8 +71,11 @@ def stream_ingest(
 ) -> StreamingQuery:
     """Start the job over a streaming DataFrame (uri, content); it stops once everything present has been taken in."""
 
+    # Batch numbers restart with every checkpoint, so the checkpoint is part of a batch's name.
+    job = hashlib.md5(checkpoint.encode()).hexdigest()
+
     def write(rows: DataFrame, batch_id: int) -> None:
-        ingest_batch(rows, batch_id, path, config_hash, provider_factory, model, size, min_chars)
+        ingest_batch(rows, f"{job}-{batch_id}", path, config_hash, provider_factory, model, size, min_chars)
 
     return (
         source.writeStream.foreachBatch(write)
