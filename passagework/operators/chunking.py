@@ -24,12 +24,24 @@ DEFAULT_TOKENIZER = "character"
 TOKENIZERS = ("character", "gpt2")
 SUPPORTED_METHOD = "recursive"
 
-PARAGRAPHS = r"(?s).+?(?:\n\n+|\z)"
+_BLANKS = r"[ \t\n\r\f\x0B]"
+# Pieces of every level, each with its trailing delimiter.
+PARAGRAPHS = r"(?s)\n\n+|.+?(?:\n\n+|\z)"
 LINES = r"[^\n]*\n+|[^\n]+"
 SENTENCES = r"[^.!?]*[.!?]+[ \t\n\r\f\x0B]*|[^.!?]+"
 WORDS = r"[^ \t\n\r\f\x0B]*[ \t\n\r\f\x0B]+|[^ \t\n\r\f\x0B]+"
 SENTENCES_AND_LINES = r"[^.!?\n]*[.!?\n]+|[^.!?\n]+"
 LEVELS = (PARAGRAPHS, LINES, SENTENCES, WORDS)
+# Where a piece ends, for the levels that show it in the characters around the position.
+_ENDS = {
+    PARAGRAPHS: r"(?<=\n\n)(?!\n)",
+    LINES: r"(?<=\n)(?!\n)",
+    WORDS: rf"(?<={_BLANKS})(?!{_BLANKS})",
+    SENTENCES_AND_LINES: r"(?<=[.!?\n])(?![.!?\n])",
+}
+
+# A chunk without the delimiter is one piece at these levels.
+_NEEDED = {PARAGRAPHS: r"'\n\n'", LINES: r"'\n'"}
 
 _RUN = "struct<first:int,count:int,length:int>"
 _SEGMENT = 512
@@ -66,9 +78,28 @@ def _pack(pieces: str, joins: str) -> str:
     return f"element_at(transform(array({pieces}), p -> {runs}), 1)"
 
 
+def _packed_by_regex(pattern: str, size: str) -> str:
+    """Greedy packing in one match: the longest stretch up to ``size`` that ends where a piece ends, else one long piece."""
+    pieces = f"concat('(?s).{{1,', {size}, r'}}(?:{_ENDS[pattern]}|\\z)|{pattern.removeprefix('(?s)')}')"
+    return f"transform(regexp_extract_all(c.text, {pieces}, 0), t -> named_struct('length', length(t), 'text', t))"
+
+
 def _split_level(chunks: str, pattern: str, size: str) -> str:
-    packed = _pack(f"regexp_extract_all(c.text, {pattern}, 0)", f"a.length + n <= {size}")
-    return f"flatten(transform({chunks}, c -> CASE WHEN c.length <= {size} THEN array(c) ELSE {packed} END))"
+    if pattern in _ENDS:
+        packed = _packed_by_regex(pattern, size)
+    else:
+        packed = _pack(f"regexp_extract_all(c.text, {_regex(pattern)}, 0)", f"a.length + n <= {size}")
+    whole = f"c.length <= {size}"
+    if pattern in _NEEDED:
+        whole += f" OR NOT contains(c.text, {_NEEDED[pattern]})"
+    return f"flatten(transform({chunks}, c -> CASE WHEN {whole} THEN array(c) ELSE {packed} END))"
+
+
+def _cut(chunks: str, size: str) -> str:
+    """Whatever is still too long is cut every ``size`` code points."""
+    parts = f"regexp_extract_all(c.text, concat('(?s).{{1,', {size}, '}}'), 0)"
+    cut = f"transform({parts}, t -> named_struct('length', length(t), 'text', t))"
+    return f"flatten(transform({chunks}, c -> CASE WHEN c.length <= {size} THEN array(c) ELSE {cut} END))"
 
 
 def _merge_short(chunks: str, size: str, min_chars: str) -> str:
@@ -101,13 +132,15 @@ def recursive_pieces(text: str, size: str, min_chars: str) -> str:
     """SQL expression: chunks of a text column; sizes are SQL expressions, so they may be columns."""
     chunks = _whole(text)
     for pattern in LEVELS:
-        chunks = _split_level(chunks, _regex(pattern), size)
-    return _merge_short(_split_level(chunks, f"concat('(?s).{{1,', {size}, '}}')", size), size, min_chars)
+        chunks = _split_level(chunks, pattern, size)
+    chunks = _merge_short(_cut(chunks, size), size, min_chars)
+    return f"CASE WHEN length({text}) <= {size} THEN {_whole(text)} ELSE {chunks} END"
 
 
 def sentence_pieces(text: str, size: str, min_chars: str) -> str:
     """One level only: sentence and line ends, packed up to ``size``; a single longer sentence stays whole."""
-    return _merge_short(_split_level(_whole(text), _regex(SENTENCES_AND_LINES), size), size, min_chars)
+    chunks = _merge_short(_split_level(_whole(text), SENTENCES_AND_LINES, size), size, min_chars)
+    return f"CASE WHEN length({text}) <= {size} THEN {_whole(text)} ELSE {chunks} END"
 
 
 def _explode(pages: DataFrame, pieces: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Embedding chunks through an injected provider, and checks on the vectors."""
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Callable, Iterator
@@ -80,26 +81,20 @@ def _hash_word(word: str) -> tuple[int, int]:
     return int(digest[:8], 16), 1 if digest[8] < "8" else -1
 
 
-class _WordHashes:
-    """Hash codes and signs of words, remembered per worker up to a bound."""
+class _WordHashes(dict):
+    """Signed hash codes (code + 1 times the sign) of words, remembered per worker up to a bound."""
 
-    def __init__(self) -> None:
-        self._known: dict[str, tuple[int, int]] = {}
+    def __missing__(self, word: str) -> int:
+        if len(self) > _CACHE_LIMIT:
+            self.clear()
+        code, sign = _hash_word(word.lower())
+        self[word] = signed = (code + 1) * sign
+        return signed
 
     def codes(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        known = self._known
-        if len(known) > _CACHE_LIMIT:
-            known.clear()
-        found = []
-        for word in WORD.findall(text):
-            pair = known.get(word)
-            if pair is None:
-                pair = known[word] = _hash_word(word.lower())
-            found.append(pair)
-        if not found:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        pairs = np.array(found, dtype=np.int64)
-        return pairs[:, 0], pairs[:, 1]
+        words = WORD.findall(text)
+        signed = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return np.abs(signed) - 1, np.sign(signed)
 
 
 def hashing_provider(dim: int) -> Callable[[], Provider]:
@@ -184,15 +179,21 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@functools.lru_cache(maxsize=2)
+def _tokenizer(place: str):
+    """One tokenizer per worker process and file."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(place)
+
+
 def bpe_token_counts(rows: DataFrame, text: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """Sets ``token_count`` to the byte-level BPE count. The vocabulary file is loaded once per task."""
+    """Sets ``token_count`` to the byte-level BPE count. The vocabulary file is loaded once per worker."""
     place = vocabulary or default_vocabulary()
 
     @F.pandas_udf("int")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(place)
+        tokenizer = _tokenizer(place)
         for texts in batches:
             encoded = tokenizer.encode_batch(texts.tolist(), add_special_tokens=False)
             yield pd.Series([len(e.ids) for e in encoded])

@@ -1,6 +1,7 @@
 """Registration, table loading and SQL fragments shared by the registered queries."""
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from passagework.functions.text import WHITE_SPACE
 from passagework.operators import chunking
+from passagework.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -15,7 +17,11 @@ ORACLE: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def register(fn: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            return fn(ship_package(spark), folder)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql
         return fn

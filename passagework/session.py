@@ -1,8 +1,10 @@
 """Session defaults and the shared scratch folder."""
 from __future__ import annotations
 
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -23,7 +25,24 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Make this package importable on the executors, once per application (like ``--py-files``)."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        root = pathlib.Path(__file__).parent
+        archive = pathlib.Path(tempfile.mkdtemp(prefix="passagework-")) / "passagework.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for source in sorted(root.rglob("*.py")):
+                out.write(source, source.relative_to(root.parent))
+        context.addPyFile(str(archive))
+        _SHIPPED.add(context.applicationId)
+    return spark
 
 
 def scratch_root(spark: SparkSession) -> str:

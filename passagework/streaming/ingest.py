@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from passagework.operators.chunking import DEFAULT_MIN_CHARS, DEFAULT_SIZE, number_chunks, recursive_chunks
+from passagework.operators.chunking import DEFAULT_MIN_CHARS, DEFAULT_SIZE, non_blank, number_chunks, recursive_chunks
 from passagework.operators.embedding import embed_chunks
-from passagework.operators.provenance import CHUNK_KEY, chunk_id, document_id, new_chunks
+from passagework.operators.provenance import CHUNK_KEY, chunk_id, document_id
 from passagework.plans.stage import stage
 from passagework.sources.files import file_facts
 from passagework.sources.tables import commit_batch, read_committed
 
-DOCUMENT = "id string, uri string, file_name string, mime_type string, byte_size bigint, content_hash string"
+DOCUMENT = (
+    "id string, uri string, file_name string, mime_type string, byte_size bigint, content_hash string, "
+    "extraction_config_hash string"
+)
 CHUNK = (
     "id string, document_id string, chunk_index int, content string, token_count int, extraction_config_hash string, "
     "embedding array<float>, embedding_model string"
@@ -41,28 +44,32 @@ def ingest_batch(
     """One micro-batch of (uri, content STRING). A replayed batch replaces its own unfinished attempt, nothing else."""
     spark = rows.sparkSession
     once = rows.groupBy("uri").agg(F.max("content").alias("content"))
-    documents = file_facts(once.select("uri", F.encode("content", "UTF-8").alias("content"))).withColumn(
-        "id", document_id(F.col("uri"))
+    documents = file_facts(once.select("uri", F.encode("content", "UTF-8").alias("content"))).select(
+        document_id(F.col("uri")).alias("id"), "*", F.lit(config_hash).alias("extraction_config_hash")
+    )
+    # A text already taken in under this config has all its chunks: it is neither chunked nor embedded again.
+    version = ["id", "content_hash", "extraction_config_hash"]
+    seen = read_committed(spark, path, "documents", DOCUMENT).select(*version).distinct()
+    changed = stage(
+        once.withColumn("id", document_id(F.col("uri")))
+        .withColumn("content_hash", F.sha2(F.encode("content", "UTF-8"), 256))
+        .withColumn("extraction_config_hash", F.lit(config_hash))
+        .join(seen, version, "left_anti")
+        .select(F.col("id").alias("document_id"), F.lit(1).alias("page_number"), "content"),
+        "changed",
     )
-    pages = once.select(document_id(F.col("uri")).alias("document_id"), F.lit(1).alias("page_number"), "content")
-    pieces = stage(recursive_chunks(pages, size, min_chars), "pieces")
-    chunks = number_chunks(pieces).select(
+    chunks = number_chunks(recursive_chunks(changed, size, min_chars)).select(
         chunk_id(F.col("document_id"), F.col("chunk_index"), F.lit(config_hash)).alias("id"),
         "document_id", "chunk_index", F.col("text").alias("content"), "token_count",
         F.lit(config_hash).alias("extraction_config_hash"),
     )
-    # Known keys leave before the vectors are paid for.
-    known = stored_chunks(spark, path).select(*CHUNK_KEY)
-    fresh = embed_chunks(new_chunks(known, chunks), provider_factory, model, text="content")
-    chunked = documents.join(chunks.select(F.col("document_id").alias("id")), "id", "left_semi")
-    commit_batch(
-        path,
-        {
-            "documents": chunked.select("id", "uri", "file_name", "mime_type", "byte_size", "content_hash"),
-            "chunks": fresh.select("id", *[c for c in chunks.columns if c != "id"], "embedding", "embedding_model"),
-        },
-        batch,
-    )
+    # Known keys leave before the vectors are paid for; keys are unique within the batch.
+    known = read_committed(spark, path, "chunks", CHUNK).select(*CHUNK_KEY)
+    fresh = embed_chunks(chunks.join(known, CHUNK_KEY, "left_anti"), provider_factory, model, text="content")
+    # Documents without any chunk are not written.
+    chunked = non_blank(changed).select(F.col("document_id").alias("id")).unionByName(seen.select("id")).distinct()
+    columns = [field.split()[0] for field in CHUNK.split(", ")]
+    commit_batch(path, {"documents": documents.join(chunked, "id", "left_semi"), "chunks": fresh.select(*columns)}, batch)
 
 
 def stream_ingest(
