@@ -9,10 +9,11 @@ Chunks of a page tile it exactly: their texts joined give the page.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagework.functions.text import has_text
+from passagework.functions.tokens import bpe_chunker
 from passagework.plans.checks import first_reason, split_on_reason
 from passagework.plans.running import number_blocks, running_sums
 
@@ -159,12 +160,30 @@ def non_blank(pages: DataFrame) -> DataFrame:
     return pages.filter(has_text(F.col("content")))
 
 
-def recursive_chunks(pages: DataFrame, size: int = DEFAULT_SIZE, min_chars: int = DEFAULT_MIN_CHARS) -> DataFrame:
+def _explode_by_tokens(pages: DataFrame, size: Column, min_chars: Column, vocabulary: str | None) -> DataFrame:
+    chunks = bpe_chunker(LEVELS, vocabulary)(F.col("content"), size, min_chars)
+    rows = pages.select(*[c for c in pages.columns if c != "content"], F.posexplode(chunks).alias("piece_no", "__c"))
+    return rows.select("*", "__c.*").drop("__c")
+
+
+def recursive_chunks(
+    pages: DataFrame,
+    size: int = DEFAULT_SIZE,
+    min_chars: int = DEFAULT_MIN_CHARS,
+    tokenizer: str = DEFAULT_TOKENIZER,
+    vocabulary: str | None = None,
+) -> DataFrame:
     """One row per chunk of every non-blank page; other page columns (metadata too) are copied to each chunk.
 
-    ``piece_no`` is the position within the page; :func:`number_chunks` turns it into the position within the document.
+    ``tokenizer`` says what ``size`` and ``token_count`` measure: code points (``character``) or BPE tokens (``gpt2``,
+    where a packed chunk counts the tokens of its pieces). ``piece_no`` is the position within the page;
+    :func:`number_chunks` turns it into the position within the document.
     """
-    return _explode(non_blank(pages), recursive_pieces("content", str(size), str(min_chars)))
+    if tokenizer == "character":
+        return _explode(non_blank(pages), recursive_pieces("content", str(size), str(min_chars)))
+    if tokenizer == "gpt2":
+        return _explode_by_tokens(non_blank(pages), F.lit(size), F.lit(min_chars), vocabulary)
+    raise ValueError(f"unknown tokenizer {tokenizer!r}")
 
 
 def pack_sentences(pages: DataFrame, size: int = DEFAULT_SIZE, min_chars: int = DEFAULT_MIN_CHARS) -> DataFrame:
@@ -185,7 +204,9 @@ def number_chunks(chunks: DataFrame, document: str = "document_id", page: str =
     return joined.withColumn("chunk_index", (F.col("before") + F.col("piece_no")).cast("int")).drop("before")
 
 
-def chunk_with_configs(pages: DataFrame, configs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def chunk_with_configs(
+    pages: DataFrame, configs: DataFrame, vocabulary: str | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Chunks of every page under every config of its handler, and the configs that were refused.
 
     ``pages`` has a ``parser`` column naming the handler that made it; ``configs`` holds config_hash, parser,
@@ -207,10 +228,13 @@ def chunk_with_configs(pages: DataFrame, configs: DataFrame) -> tuple[DataFrame,
         F.coalesce(F.col("chunk_size").cast("int"), F.lit(DEFAULT_SIZE)).alias("__size"),
         F.coalesce(F.col("min_characters_per_chunk").cast("int"), F.lit(DEFAULT_MIN_CHARS)).alias("__min"),
     )
-    by_length = sized.filter(F.col("tokenizer") == "character").drop("tokenizer")
-    rows = non_blank(pages).join(by_length, "parser")
-    chunks = _explode(rows, recursive_pieces("content", "__size", "__min")).drop("__size", "__min")
-    return chunks, refused
+    rows = non_blank(pages).join(sized, "parser")
+    counted = {name: rows.filter(F.col("tokenizer") == name).drop("tokenizer") for name in TOKENIZERS}
+    by_length = _explode(counted["character"], recursive_pieces("content", "__size", "__min"))
+    if sized.filter(F.col("tokenizer") == "gpt2").isEmpty():
+        return by_length.drop("__size", "__min"), refused
+    by_tokens = _explode_by_tokens(counted["gpt2"], F.col("__size"), F.col("__min"), vocabulary)
+    return by_length.unionByName(by_tokens).drop("__size", "__min"), refused
 
 
 def unchunked(documents: DataFrame, chunks: DataFrame, document: str = "document_id") -> DataFrame:

@@ -89,6 +89,14 @@ def token_count_bpe(spark, folder):
     return embedding.token_counts(chunks, "gpt2").select("document_id", "piece_no", "token_count")
 
 
+@query("chunk_by_tokens")
+def chunk_by_tokens(spark, folder):
+    """Sizes in BPE tokens; no SQL knows the vocabulary, so tests check this against a brute-force statement."""
+    return chunking.recursive_chunks(document_pages(spark, folder), 128, tokenizer="gpt2").select(
+        "document_id", "piece_no", "text", "token_count", "start_index", "end_index"
+    )
+
+
 @query(
     "chunk_metadata",
     f"""WITH {DOC_PAGES_SQL}, {sql_chunk_tables('pg', '2048', keep=', lang, source')}
