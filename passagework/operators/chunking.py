@@ -239,4 +239,4 @@ def chunk_with_configs(
 
 def unchunked(documents: DataFrame, chunks: DataFrame, document: str = "document_id") -> DataFrame:
     """Documents that gave no chunk; they are reported and not written."""
-    return documents.join(chunks.select(document), document, "left_anti")
+    return documents.join(chunks.select(document).distinct(), document, "left_anti")

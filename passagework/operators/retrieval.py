@@ -17,6 +17,7 @@ from passagework.plans.nearest import (
     SparseCounts,
     bucketed_nearest,
     nearest,
+    nearest_sized,
 )
 
 # Default number of chunks for chat and direct search, and for evaluation and request tables.
@@ -37,15 +38,23 @@ def _of_config(chunks: DataFrame, config_hash: str | None) -> DataFrame:
     return chunks if config_hash is None else chunks.filter(F.col("extraction_config_hash") == config_hash)
 
 
-def attach_chunks(hits: DataFrame, chunks: DataFrame, documents: DataFrame | None, keys: list[str]) -> DataFrame:
-    """Content, metadata and file name for the few ranked rows; the wide columns are read only here."""
-    extra = [c for c in ("content", "metadata") if c in chunks.columns]
-    out = hits.join(chunks.select(*keys, *extra), keys)
+def attach_chunks(
+    hits: DataFrame, chunks: DataFrame, documents: DataFrame | None, keys: list[str], small: bool
+) -> DataFrame:
+    """File name, content and metadata for the ranked rows; the wide columns are read only here.
+
+    ``small`` says the number of hits is proven bounded: then they are broadcast, so that neither the documents nor the
+    chunk contents are shuffled. Larger results are left to a shuffled join.
+    """
+
+    def side(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if small else df
+
     if documents is not None:
-        out = out.join(documents.select(F.col("id").alias("document_id"), "file_name"), "document_id")
-    if "metadata" in extra:
-        out = out.withColumn("page_number", page_number_of(F.col("metadata")))
-    return out
+        hits = documents.select(F.col("id").alias("document_id"), "file_name").join(side(hits), "document_id")
+    extra = [c for c in ("content", "metadata") if c in chunks.columns]
+    out = chunks.select(*keys, *extra).join(side(hits), keys) if extra else hits
+    return out.withColumn("page_number", page_number_of(F.col("metadata"))) if "metadata" in extra else out
 
 
 def search(
@@ -65,10 +74,10 @@ def search(
     rows are joined to contents and documents.
     """
     pool = _of_config(chunks, config_hash)
-    hits = nearest(_with_limit(queries, k), pool, keys, DenseVectors(metric), max_broadcast)
+    hits, small = nearest_sized(_with_limit(queries, k), pool, keys, DenseVectors(metric), max_broadcast)
     if metric == "l2":
         hits = hits.withColumn("score", -F.col("score"))
-    return attach_chunks(hits, pool, documents, keys)
+    return attach_chunks(hits, pool, documents, keys, small)
 
 
 def sparse_search(
@@ -79,8 +88,8 @@ def sparse_search(
     max_broadcast: int = MAX_BROADCAST_QUERIES,
 ) -> DataFrame:
     """Cosine search over sparse integer vectors (``bucket``/``weight`` arrays, see ``embedding.hashed_counts``)."""
-    hits = nearest(_with_limit(queries, k), chunks, keys, SparseCounts(), max_broadcast)
-    return attach_chunks(hits, chunks, None, keys)
+    hits, small = nearest_sized(_with_limit(queries, k), chunks, keys, SparseCounts(), max_broadcast)
+    return attach_chunks(hits, chunks, None, keys, small)
 
 
 def best_match(queries: DataFrame, corpus: DataFrame, key: str = "chunk_index") -> DataFrame:

@@ -70,7 +70,7 @@ def test_matches_plain_statement(spark, size, least):
         assert "".join(r.text for r in got[i]) == text
 
 
-@settings(max_examples=8, deadline=None)
+@settings(max_examples=4, deadline=None)
 @given(st.lists(st.text(alphabet="ab .!?\n\té😀", min_size=1, max_size=200), min_size=1, max_size=20), st.integers(2, 60), st.integers(1, 30))
 def test_random_texts(spark, texts, size, least):
     texts = [t for t in texts if t.strip()]
