@@ -25,89 +25,78 @@ DEFAULT_TOKENIZER = "character"
 TOKENIZERS = ("character", "gpt2")
 SUPPORTED_METHOD = "recursive"
 
-_BLANKS = r"[ \t\n\r\f\x0B]"
-# Pieces of every level, each with its trailing delimiter.
+_BLANK = r"[ \t\n\r\f\x0B]"
+# Pieces of every level, each with its trailing delimiter; a sentence takes one blank after its end.
 PARAGRAPHS = r"(?s)\n\n+|.+?(?:\n\n+|\z)"
 LINES = r"[^\n]*\n+|[^\n]+"
-SENTENCES = r"[^.!?]*[.!?]+[ \t\n\r\f\x0B]*|[^.!?]+"
+SENTENCES = r"[^.!?]*[.!?]+[ \t\n\r\f\x0B]?|[^.!?]+"
 WORDS = r"[^ \t\n\r\f\x0B]*[ \t\n\r\f\x0B]+|[^ \t\n\r\f\x0B]+"
 SENTENCES_AND_LINES = r"[^.!?\n]*[.!?\n]+|[^.!?\n]+"
 LEVELS = (PARAGRAPHS, LINES, SENTENCES, WORDS)
-# Where a piece ends, for the levels that show it in the characters around the position.
+# The same piece ends, told by the characters around a position.
 _ENDS = {
     PARAGRAPHS: r"(?<=\n\n)(?!\n)",
     LINES: r"(?<=\n)(?!\n)",
-    WORDS: rf"(?<={_BLANKS})(?!{_BLANKS})",
+    SENTENCES: rf"(?<=[.!?]{_BLANK})|(?<=[.!?])(?![.!?]|{_BLANK})",
+    WORDS: rf"(?<={_BLANK})(?!{_BLANK})",
     SENTENCES_AND_LINES: r"(?<=[.!?\n])(?![.!?\n])",
 }
-
 # A chunk without the delimiter is one piece at these levels.
 _NEEDED = {PARAGRAPHS: r"'\n\n'", LINES: r"'\n'"}
-
-_RUN = "struct<first:int,count:int,length:int>"
-_SEGMENT = 512
+_CHUNK = "struct<length:int,text:string>"
+_BLOCK = 64
 
 
-def _runs(pieces: str, joins: str) -> str:
-    """Greedy runs of neighbours in ``pieces``; ``joins`` tells from a.length and n whether the next piece is added.
+def _let(name: str, value: str, body: str) -> str:
+    """``body`` with ``value`` bound to ``name``, so that it is computed once per row."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
-    Finished runs are kept in segments so that appending stays cheap for very long pages.
-    """
-    run = "array(named_struct('first', a.first, 'count', a.count, 'length', a.length))"
-
-    def state(full: str, open_: str, first: str, count: str, length: str) -> str:
-        return (
-            f"named_struct('full', {full}, 'open', {open_}, 'first', {first}, 'count', {count}, 'length', {length})"
-        )
-
-    start = state(f"cast(array() as array<array<{_RUN}>>)", f"cast(array() as array<{_RUN}>)", "1", "0", "0")
-    grown = state("a.full", "a.open", "a.first", "a.count + 1", "a.length + n")
-    spilled = state("concat(a.full, array(a.open))", run, "a.first + a.count", "1", "n")
-    appended = state("a.full", f"concat(a.open, {run})", "a.first + a.count", "1", "n")
-    return (
-        f"aggregate(transform({pieces}, x -> length(x)), {start}, (a, n) -> CASE"
-        f" WHEN a.count = 0 OR ({joins}) THEN {grown}"
-        f" WHEN size(a.open) >= {_SEGMENT} THEN {spilled} ELSE {appended} END,"
-        f" a -> concat(flatten(a.full), a.open, {run}))"
-    )
 
-
-def _pack(pieces: str, joins: str) -> str:
-    """array<struct<length,text>> of packed neighbours; the pieces are bound to ``p`` so they are computed once."""
-    text = "array_join(slice(p, r.first, r.count), '')"
-    runs = f"transform({_runs('p', joins)}, r -> named_struct('length', r.length, 'text', {text}))"
-    return f"element_at(transform(array({pieces}), p -> {runs}), 1)"
-
-
-def _packed_by_regex(pattern: str, size: str) -> str:
-    """Greedy packing in one match: the longest stretch up to ``size`` that ends where a piece ends, else one long piece."""
-    pieces = f"concat('(?s).{{1,', {size}, r'}}(?:{_ENDS[pattern]}|\\z)|{pattern.removeprefix('(?s)')}')"
-    return f"transform(regexp_extract_all(c.text, {pieces}, 0), t -> named_struct('length', length(t), 'text', t))"
+def _matches(text: str, pattern: str) -> str:
+    return f"transform(regexp_extract_all({text}, {pattern}, 0), t -> named_struct('length', length(t), 'text', t))"
 
 
 def _split_level(chunks: str, pattern: str, size: str) -> str:
-    if pattern in _ENDS:
-        packed = _packed_by_regex(pattern, size)
-    else:
-        packed = _pack(f"regexp_extract_all(c.text, {_regex(pattern)}, 0)", f"a.length + n <= {size}")
+    """Greedy packing in one match: the longest stretch up to ``size`` that ends where a piece ends, else one long piece."""
+    packed = f"concat('(?s).{{1,', {size}, r'}}(?:{_ENDS[pattern]}|\z)|{pattern.removeprefix('(?s)')}')"
     whole = f"c.length <= {size}"
     if pattern in _NEEDED:
         whole += f" OR NOT contains(c.text, {_NEEDED[pattern]})"
-    return f"flatten(transform({chunks}, c -> CASE WHEN {whole} THEN array(c) ELSE {packed} END))"
+    return f"flatten(transform({chunks}, c -> CASE WHEN {whole} THEN array(c) ELSE {_matches('c.text', packed)} END))"
 
 
 def _cut(chunks: str, size: str) -> str:
     """Whatever is still too long is cut every ``size`` code points."""
-    parts = f"regexp_extract_all(c.text, concat('(?s).{{1,', {size}, '}}'), 0)"
-    cut = f"transform({parts}, t -> named_struct('length', length(t), 'text', t))"
+    cut = _matches("c.text", f"concat('(?s).{{1,', {size}, '}}')")
     return f"flatten(transform({chunks}, c -> CASE WHEN c.length <= {size} THEN array(c) ELSE {cut} END))"
 
 
 def _merge_short(chunks: str, size: str, min_chars: str) -> str:
-    return _pack(
-        f"transform({chunks}, c -> c.text)",
-        f"(a.length < {min_chars} OR n < {min_chars}) AND a.length + n <= {size}",
+    """Left-to-right merge of short neighbours.
+
+    Nothing merges across two neighbours that are both long enough, so the list is cut there first and only the clusters
+    around short chunks are folded. A fold copies what it has gathered at every step, so it gathers per block.
+    """
+    empty = f"cast(array() as array<{_CHUNK}>)"
+    joined = "named_struct('length', a.last.length + n.length, 'text', concat(a.last.text, n.text))"
+    inner = (
+        f"aggregate(k, named_struct('done', {empty}, 'last', o.last), (a, n) -> CASE"
+        f" WHEN (a.last.length < {min_chars} OR n.length < {min_chars}) AND a.last.length + n.length <= {size}"
+        f" THEN named_struct('done', a.done, 'last', {joined})"
+        " ELSE named_struct('done', concat(a.done, array(a.last)), 'last', n) END)"
+    )
+    step = _let("r", inner, "named_struct('done', concat(o.done, r.done), 'last', r.last)")
+    blocks = f"transform(sequence(0, (size(g) - 2) div {_BLOCK}), b -> slice(g, b * {_BLOCK} + 2, {_BLOCK}))"
+    fold = (
+        f"aggregate({blocks}, named_struct('done', {empty}, 'last', g[0]), (o, k) -> {step},"
+        " o -> concat(o.done, array(o.last)))"
     )
+    apart = f"i = size(m) - 1 OR (m[i].length >= {min_chars} AND m[i + 1].length >= {min_chars})"
+    ends = f"filter(transform(m, (c, i) -> CASE WHEN {apart} THEN i + 1 END), e -> e IS NOT NULL)"
+    start = "CASE WHEN j = 0 THEN 0 ELSE ends[j - 1] END"
+    groups = f"transform(ends, (e, j) -> slice(m, {start} + 1, e - ({start})))"
+    merged = f"flatten(transform({groups}, g -> CASE WHEN size(g) = 1 THEN g ELSE {fold} END))"
+    return _let("m", chunks, _let("ends", ends, merged))
 
 
 def _whole(text: str) -> str:
@@ -115,18 +104,17 @@ def _whole(text: str) -> str:
 
 
 def _starts(chunks: str) -> str:
-    """Start of every chunk: exclusive sums of the lengths, appended in segments as above."""
-    spilled = "named_struct('full', concat(a.full, array(a.open)), 'open', array(a.at), 'at', a.at + c.length)"
-    appended = "named_struct('full', a.full, 'open', concat(a.open, array(a.at)), 'at', a.at + c.length)"
-    start = "named_struct('full', cast(array() as array<array<int>>), 'open', cast(array() as array<int>), 'at', 0)"
-    return (
-        f"aggregate({chunks}, {start}, (a, c) -> CASE WHEN size(a.open) >= {_SEGMENT} THEN {spilled}"
-        f" ELSE {appended} END, a -> concat(flatten(a.full), a.open))"
-    )
+    """Start of every chunk: sums of the lengths before it, per block of chunks and then within the blocks."""
+    none = "cast(array() as array<int>)"
 
+    def sums(items: str, length: str, at: str) -> str:
+        step = f"named_struct('at', a.at + {length}, 'out', concat(a.out, array(a.at)))"
+        return f"aggregate({items}, named_struct('at', {at}, 'out', {none}), (a, n) -> {step}, a -> a.out)"
 
-def _regex(pattern: str) -> str:
-    return "r'" + pattern + "'"
+    blocks = f"transform(sequence(0, (size({chunks}) - 1) div {_BLOCK}), k -> slice({chunks}, k * {_BLOCK} + 1, {_BLOCK}))"
+    totals = "transform(blocks, k -> aggregate(k, 0, (s, c) -> s + c.length))"
+    inside = f"flatten(transform(blocks, (k, i) -> {sums('k', 'n.length', 'before[i]')}))"
+    return _let("blocks", blocks, _let("before", sums(totals, "n", "0"), inside))
 
 
 def recursive_pieces(text: str, size: str, min_chars: str) -> str:
