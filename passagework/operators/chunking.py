@@ -58,7 +58,7 @@ def _matches(text: str, pattern: str) -> str:
 
 def _split_level(chunks: str, pattern: str, size: str) -> str:
     """Greedy packing in one match: the longest stretch up to ``size`` that ends where a piece ends, else one long piece."""
-    packed = f"concat('(?s).{{1,', {size}, r'}}(?:{_ENDS[pattern]}|\z)|{pattern.removeprefix('(?s)')}')"
+    packed = f"concat('(?s).{{1,', {size}, r'}}(?:{_ENDS[pattern]}|\\z)|{pattern.removeprefix('(?s)')}')"
     whole = f"c.length <= {size}"
     if pattern in _NEEDED:
         whole += f" OR NOT contains(c.text, {_NEEDED[pattern]})"

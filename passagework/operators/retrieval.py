@@ -71,7 +71,7 @@ def search(
 
     ``queries``: query_id, embedding and optionally top_k (null means ``k``). ``metric`` is cosine, l2 or inner; the
     score is the similarity, the distance or the product. Chunks are ranked on (key, vector) alone, and only the ranked
-    rows are joined to contents and documents.
+    rows are joined to contents and documents; every chunk must have its document (see ``provenance.fk_violations``).
     """
     pool = _of_config(chunks, config_hash)
     hits, small = nearest_sized(_with_limit(queries, k), pool, keys, DenseVectors(metric), max_broadcast)

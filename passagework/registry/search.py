@@ -44,11 +44,13 @@ hits AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {order
 
 COSINE_SQL = "list_dot_product(q.v, c.v) / (q.norm * c.norm)"
 COSINE_HITS_SQL = _vector_sql(COSINE_SQL, "score DESC")
+# Chunks belong to a document: vectors without one (the smallest tables have some) are no chunks.
+OWNED_HITS_SQL = _vector_sql(COSINE_SQL, "score DESC", where="c.vec_id IN (SELECT doc_id FROM documents)")
 
 
 @query(
     "cosine_topk",
-    f"""WITH {COSINE_HITS_SQL}
+    f"""WITH {OWNED_HITS_SQL}
 SELECT query_id, rank, document_id, chunk_index, round(score, 6) AS score, text AS content, source || '/' || doc_id AS file_name
 FROM hits JOIN documents ON document_id = doc_id""",
 )
@@ -209,7 +211,7 @@ def metadata_page_number(spark, folder):
 
 @query(
     "source_accumulation",
-    f"""WITH {COSINE_HITS_SQL}
+    f"""WITH {OWNED_HITS_SQL}
 SELECT q_label AS request_id, count(*) AS sources, string_agg(source || '/' || doc_id, ' ' ORDER BY query_id, rank) AS names
 FROM hits JOIN documents ON document_id = doc_id GROUP BY q_label""",
 )
