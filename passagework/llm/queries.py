@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm import decontamination, mixing, sharding, simhash
+from passagework.llm import decontamination, extraction, hosts, mixing, pq, sharding, simhash, toxicity
 from passagework.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,16 @@ def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+@query("op1_host_trust")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return hosts.url_verdicts(load(spark, folder, "pages"))
+
+
+@query("op2_embedding_pq")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return pq.near_embeddings(load(spark, folder, "embeddings"))
+
+
 @query("op4_decontamination")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     found = decontamination.contamination(load(spark, folder, "documents").select("doc_id", "text"), load(spark, folder, "benchmark"))
@@ -55,3 +65,13 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     groups = simhash.simhash_groups(load(spark, folder, "documents").select("doc_id", "text"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op8_toxicity")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(load(spark, folder, "documents"), load(spark, folder, "labels"))
+
+
+@query("op9_extraction")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return extraction.extracted_pages(load(spark, folder, "pages"))
