@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm import decontamination, extraction, hosts, mixing, pq, sharding, simhash, toxicity
+from passagework.llm import decontamination, extraction, hosts, language, licenses, mixing, pq, sharding, simhash, toxicity
 from passagework.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,11 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return pq.near_embeddings(load(spark, folder, "embeddings"))
 
 
+@query("op3_stupid_backoff")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return language.stupid_backoff(load(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query("op4_decontamination")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     found = decontamination.contamination(load(spark, folder, "documents").select("doc_id", "text"), load(spark, folder, "benchmark"))
@@ -75,3 +80,9 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_extraction")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return extraction.extracted_pages(load(spark, folder, "pages"))
+
+
+@query("op10_licenses")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    path = F.concat_ws("/", F.col("source"), F.col("lang"), F.col("doc_id").cast("string"))
+    return licenses.license_scan(load(spark, folder, "documents"), path)

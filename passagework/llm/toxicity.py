@@ -76,8 +76,8 @@ def nothing(prior: float) -> Model:
     return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior))))
 
 
-def fit_nnpu(rows: np.ndarray, cols: np.ndarray, positive: np.ndarray, features: int, prior: float, steps: int = 400,
-             rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit_nnpu(rows: np.ndarray, cols: np.ndarray, positive: np.ndarray, features: int, prior: float, steps: int = 1500,
+             rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights and bias by Adam on the non-negative risk; ``rows, cols`` are the set entries of the 0/1 feature matrix."""
     n = len(positive)
     pos, unl = positive.astype(float), (~positive).astype(float)
