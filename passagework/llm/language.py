@@ -7,9 +7,11 @@ tables, so their words back off; single words are always known, as the counts co
 One row per n-gram and document would move many times the corpus. So documents are packed into blocks, a block's distinct n-grams are
 sent once, as sorted hashes, to the partition that owns the hash range; there all blocks' counts are summed and each block gets
 back the total for every n-gram it sent, in its own order. The block's documents are then joined to those totals and summed per document.
+Hashes have 56 bits: two n-grams of a corpus of 10^10 different ones share a hash with a chance below 2 in 10^7.
 """
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,13 +27,14 @@ from passagework.plans.stage import stage
 ORDER, LEAST, BACKOFF = 3, 2, 0.4
 #: Bytes of text in a block; words whose n-grams one range partition holds, on average.
 BLOCK_BYTES, RANGE_WORDS = 8 << 20, 3_000_000
-_REMEMBERED = 1 << 19
+_REMEMBERED = 1 << 18
+_BITS = 56
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _grams(texts: list[bytes | None], order: int, memory: dict[bytes, int]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
     """For each length the hashes of the n-grams ending at each word, whether there are so many words; words per text."""
-    words, lengths = [], np.zeros(len(texts), np.int64)
+    words, lengths = array("Q"), np.zeros(len(texts), np.int64)
     for at, text in enumerate(texts):
         found = blank_separated(text)
         lengths[at] = len(found)
@@ -42,7 +45,7 @@ def _grams(texts: list[bytes | None], order: int, memory: dict[bytes, int]) -> t
                     memory.clear()
                 code = memory[word] = xxhash.xxh64_intdigest(word, 1)
             words.append(code)
-    first = np.array(words, np.uint64)
+    first = np.frombuffer(words, np.uint64) if words else np.zeros(0, np.uint64)
     nth = np.arange(len(first)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     hashes, valid = [first], [np.ones(len(first), bool)]
     for n in range(2, order + 1):
@@ -54,7 +57,7 @@ def _grams(texts: list[bytes | None], order: int, memory: dict[bytes, int]) -> t
             longer[1:] = x ^ (x >> np.uint64(32))
         hashes.append(longer)
         valid.append(nth >= n - 1)
-    return hashes, valid, lengths
+    return [h >> np.uint64(64 - _BITS) for h in hashes], valid, lengths
 
 
 def _distinct(hashes: list[np.ndarray], valid: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +76,7 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 def _packed_texts(texts: list[bytes | None]) -> tuple[bytes, list[int]]:
-    data = zstandard.ZstdCompressor(level=3).compress(b"".join(t or b"" for t in texts))
+    data = zstandard.ZstdCompressor(level=9).compress(b"".join(t or b"" for t in texts))
     return data, [len(t or b"") for t in texts]
 
 
@@ -110,7 +113,7 @@ def _blocks(docs: DataFrame, text: str) -> DataFrame:
 
 def totals(blocks: DataFrame, ranges: int, order: int = ORDER) -> DataFrame:
     """``block, range, counts``: for every n-gram of a block, in order of its hash, how often all documents hold it."""
-    step = (1 << 64) // ranges + 1
+    step = (1 << _BITS) // ranges + 1
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memory: dict[bytes, int] = {}
@@ -140,7 +143,7 @@ def stupid_backoff(docs: DataFrame, order: int = ORDER, least: int = LEAST, back
 
     Words are the lower-cased runs between white space; documents do not run into each other. Null and blank texts have
     0 words, score 0 and a null mean; repeated documents count as often as they come; an empty table gives no rows. Counts
-    are exact up to collisions of 64-bit hashes.
+    are exact up to collisions of 56-bit hashes.
     """
     blocks = _blocks(docs, text)
     words = blocks.agg(F.sum("words")).first()[0] or 0
