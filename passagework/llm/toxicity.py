@@ -55,15 +55,16 @@ class Model:
         """Bias plus the weights of a text's distinct words; ``memory`` keeps the weights of words met before."""
         out = np.empty(len(texts))
         for at, text in enumerate(texts):
-            total = self.bias
-            for word in sorted(set(terms(text))):
+            found = []
+            for word in set(terms(text)):
                 weight = memory.get(word)
                 if weight is None:
                     if len(memory) >= _REMEMBERED:
                         memory.clear()
                     weight = memory[word] = self.weight(xxhash.xxh64_intdigest(word, 7) - (1 << 63))
-                total += weight
-            out[at] = total
+                if weight:
+                    found.append(weight)
+            out[at] = self.bias + sum(sorted(found))  # the same sum whatever order the set has
         return out
 
     def weight(self, code: int) -> float:
