@@ -22,22 +22,18 @@ from passagework.plans.stage import stage
 #: Most words the classifier weighs; most rows of either kind it is fitted on (a seeded sample).
 WEIGHED, FIT_ROWS = 4096, 20_000
 THRESHOLD = 0.3
-#: A word is weighed if this share of the positives holds it and its two shares differ by so many standard deviations.
-LEAST_SHARE, LEAST_Z = 0.01, 6.0
-_REMEMBERED = 1 << 19
+#: A word is weighed if this share of the positives holds it, it is so many times as frequent there as in unlabelled texts, and
+#: the likelihood ratio of the two counts (G squared) is at least this.
+LEAST_SHARE, LEAST_RATIO, LEAST_G = 0.08, 2.0, 20.0
 
 
-def word_codes(text: bytes | None, memory: dict[bytes, int]) -> np.ndarray:
+def word_code(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word, 7) - (1 << 63)
+
+
+def word_codes(text: bytes | None) -> np.ndarray:
     """64-bit hashes of the distinct words of a text, in order."""
-    found = set()
-    for word in set(terms(text)):
-        code = memory.get(word)
-        if code is None:
-            if len(memory) >= _REMEMBERED:
-                memory.clear()
-            code = memory[word] = xxhash.xxh64_intdigest(word, 7) - (1 << 63)
-        found.add(code)
-    return np.array(sorted(found), np.int64)
+    return np.array(sorted({word_code(word) for word in set(terms(text))}), np.int64)
 
 
 def held_out(id_column: str = "doc_id") -> Column:
@@ -47,38 +43,22 @@ def held_out(id_column: str = "doc_id") -> Column:
 
 @dataclass
 class Model:
-    codes: np.ndarray  #: hashes of the weighed words, in order
-    weights: np.ndarray
+    weights: dict[int, float]  #: by hash of the word
     bias: float
 
-    def margins(self, texts: pd.Series, memory: dict[bytes, float]) -> np.ndarray:
-        """Bias plus the weights of a text's distinct words; ``memory`` keeps the weights of words met before."""
-        out = np.empty(len(texts))
-        for at, text in enumerate(texts):
-            found = []
-            for word in set(terms(text)):
-                weight = memory.get(word)
-                if weight is None:
-                    if len(memory) >= _REMEMBERED:
-                        memory.clear()
-                    weight = memory[word] = self.weight(xxhash.xxh64_intdigest(word, 7) - (1 << 63))
-                if weight:
-                    found.append(weight)
-            out[at] = self.bias + sum(sorted(found))  # the same sum whatever order the set has
-        return out
-
-    def weight(self, code: int) -> float:
-        at = int(np.searchsorted(self.codes, code))
-        return float(self.weights[at]) if at < len(self.codes) and self.codes[at] == code else 0.0
+    def margin(self, text: bytes | None) -> float:
+        """Bias plus the weights of a text's distinct words; the same sum whatever order a set has."""
+        codes = {word_code(word) for word in set(terms(text))}
+        return self.bias + sum(self.weights[code] for code in sorted(codes.intersection(self.weights)))
 
 
 def nothing(prior: float) -> Model:
     """A model without words: every score is the prior."""
-    return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior))))
+    return Model({}, float(np.log(prior / (1 - prior))))
 
 
-def fit_nnpu(rows: np.ndarray, cols: np.ndarray, positive: np.ndarray, features: int, prior: float, steps: int = 1500,
-             rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
+def fit_nnpu(rows: np.ndarray, cols: np.ndarray, positive: np.ndarray, features: int, prior: float, steps: int = 800,
+             rate: float = 0.05, decay: float = 2e-4) -> tuple[np.ndarray, float]:
     """Weights and bias by Adam on the non-negative risk; ``rows, cols`` are the set entries of the 0/1 feature matrix."""
     n = len(positive)
     pos, unl = positive.astype(float), (~positive).astype(float)
@@ -121,9 +101,8 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, fit_ro
     chosen = sample[0].withColumn("positive", F.lit(True)).unionByName(sample[1].withColumn("positive", F.lit(False)))
 
     def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memory: dict[bytes, int] = {}
         for batch in batches:
-            yield pd.DataFrame({"positive": batch["positive"], "codes": [word_codes(t, memory) for t in batch["text"]]})
+            yield pd.DataFrame({"positive": batch["positive"], "codes": [word_codes(t) for t in batch["text"]]})
 
     fitted = pool.join(F.broadcast(chosen), "doc_id").select("positive", "text").mapInPandas(seen, "positive boolean, codes array<bigint>")
     fitted = stage(fitted, "fit").withColumn("row", F.monotonically_increasing_id())
@@ -133,9 +112,11 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, fit_ro
     holds = fitted.select("positive", F.explode("codes").alias("code")).groupBy("code").agg(
         F.count(F.when(F.col("positive"), 1)).alias("p"), F.count(F.when(~F.col("positive"), 1)).alias("u")
     ).where(F.col("p") >= max(3, LEAST_SHARE * sides[True])).toPandas()
-    share_p, share_u = (holds["p"] + 0.5) / (sides[True] + 1), (holds["u"] + 0.5) / (sides.get(False, 0) + 1)
-    spread = np.sqrt(share_p / (sides[True] + 1) + share_u / (sides.get(False, 0) + 1))
-    holds = holds.assign(z=(share_p - share_u).abs() / spread).query(f"z > {LEAST_Z}").sort_values(["z", "code"], ascending=[False, True]).head(weighed)
+    n_p, n_u = sides[True], sides.get(False, 0)
+    p, u = holds["p"].astype(float), holds["u"].astype(float)
+    share_p, share_u = p / n_p, u / max(n_u, 1)
+    g = 2 * (p * np.log((p / n_p) / ((p + u) / (n_p + n_u))) + u * np.log(np.maximum(share_u, 1e-300) / ((p + u) / (n_p + n_u))))
+    holds = holds[(share_p >= LEAST_RATIO * share_u) & (g >= LEAST_G)].assign(g=g).sort_values(["g", "code"], ascending=[False, True]).head(weighed)
     if not len(holds):
         return nothing(prior)
     picked = np.sort(holds["code"].to_numpy())
@@ -149,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, fit_ro
         prior = min(prior, max(0.02, marked[~positive].mean() / marked[positive].mean()))
     cols = np.searchsorted(picked, np.concatenate([np.asarray(x, np.int64) for x in data["codes"]]))
     w, bias = fit_nnpu(np.repeat(np.arange(len(data)), lengths), cols, positive, len(picked), prior)
-    return Model(picked, w, bias)
+    return Model(dict(zip(picked.tolist(), w.tolist())), bias)
 
 
 def with_score(docs: DataFrame, model: Model, name: str = "score", text: str = "text") -> DataFrame:
@@ -158,9 +139,8 @@ def with_score(docs: DataFrame, model: Model, name: str = "score", text: str = "
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        memory: dict[bytes, float] = {}
         for batch in batches:
-            margins = shared.value.margins(batch, memory)
+            margins = np.array([shared.value.margin(t) for t in batch], float)
             yield pd.Series(1 / (1 + np.exp(-np.clip(margins, -40, 40))))
 
     return docs.withColumn(name, score(F.col(text).cast("binary")))
