@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 
 def merge_metadata(left: Column, right: Column) -> Column:
-    """Union of two maps; on a shared key the right value wins."""
+    """Union of two maps; on a shared key the right value wins. A null map counts as empty."""
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    left, right = F.coalesce(left, none), F.coalesce(right, none)
     kept = F.map_filter(left, lambda k, _: ~F.map_contains_key(right, k))
     return F.map_concat(kept, right)
 

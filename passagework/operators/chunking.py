@@ -179,16 +179,17 @@ def pack_sentences(pages: DataFrame, size: int = DEFAULT_SIZE, min_chars: int =
 
 
 def number_chunks(chunks: DataFrame, document: str = "document_id", page: str = "page_number") -> DataFrame:
-    """Adds ``chunk_index``: 0-based position in the document, pages in order.
+    """Adds ``chunk_index``: 0-based position in the document, pages in order; under each config where there is a ``config_hash``.
 
     Only per-page counts are accumulated along a document. The chunks are read twice, so stage them first when they come
     from a long pipeline (see ``plans.stage``).
     """
-    counts = chunks.groupBy(document, page).agg((F.max("piece_no") + 1).alias("pieces"))
+    keys = [document, *(c for c in ("config_hash",) if c in chunks.columns)]
+    counts = chunks.groupBy(*keys, page).agg((F.max("piece_no") + 1).alias("pieces"))
     before = running_sums(
-        counts, [document], [page], number_blocks(F.col(page)), {"before": F.col("pieces")}, inclusive=False
+        counts, keys, [page], number_blocks(F.col(page)), {"before": F.col("pieces")}, inclusive=False
     ).drop("pieces")
-    joined = chunks.join(before, [document, page])
+    joined = chunks.join(before, [*keys, page])
     return joined.withColumn("chunk_index", (F.col("before") + F.col("piece_no")).cast("int")).drop("before")
 
 

@@ -23,7 +23,7 @@ Provider = Callable[[list[str]], list[tuple[int, list[float]]]]
 
 def check_batch_size(size: int) -> int:
     if not 1 <= size <= MAX_INPUTS_PER_REQUEST:
-        raise ValueError(f"batch_size must be in [1, {MAX_INPUTS_PER_REQUEST}], got {size}")
+        raise ValueError(f"one request takes 1 to {MAX_INPUTS_PER_REQUEST} texts; {size} were asked for")
     return size
 
 
@@ -35,6 +35,15 @@ def assign_batches(chunks: DataFrame, size: int = MAX_INPUTS_PER_REQUEST) -> Dat
     )
 
 
+def _answers(provider: Provider, texts: list[str]) -> list[np.ndarray]:
+    """The vectors of one request, placed by the index that comes with each; a missing or foreign index is an error."""
+    pairs = provider(texts)
+    found = dict(pairs)
+    if len(pairs) != len(texts) or found.keys() != set(range(len(texts))):
+        raise ValueError("the provider must return one vector per input")
+    return [np.asarray(found[i], dtype=np.float32) for i in range(len(texts))]
+
+
 def embed_chunks(
     chunks: DataFrame,
     provider_factory: Callable[[], Provider],
@@ -58,13 +67,8 @@ def embed_chunks(
     def embed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         provider = provider_factory()
         for pdf in frames:
-            texts, vectors = pdf[text].tolist(), []
-            for low in range(0, len(texts), size):
-                part = texts[low : low + size]
-                answer = sorted(provider(part), key=lambda pair: pair[0])
-                if [i for i, _ in answer] != list(range(len(part))):
-                    raise ValueError("the provider must return one vector per input")
-                vectors += [np.asarray(v, dtype=np.float32) for _, v in answer]
+            request = np.arange(len(pdf)) // size
+            vectors = [v for _, texts in pdf[text].groupby(request) for v in _answers(provider, texts.tolist())]
             yield pdf.assign(embedding=vectors, embedding_model=model)
 
     return chunks.mapInPandas(embed, schema)

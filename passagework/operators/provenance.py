@@ -66,9 +66,10 @@ def upsert_documents(existing: DataFrame, new: DataFrame, now: Column, order: li
     """Documents after writing ``new`` by ``uri``.
 
     A known uri keeps id and created_at and takes the new values; an unknown one is inserted. When ``new`` names a uri
-    several times the last along ``order`` counts. Columns: id, uri, the refreshed ones, created_at, updated_at.
+    several times the last along ``order`` counts, by default along the refreshed values. Columns: id, uri, the refreshed ones, created_at, updated_at.
     """
-    incoming = new.select("uri", *REFRESHED) if order is None else last_per_key(
+    order = order or [F.col(c) for c in REFRESHED]
+    incoming = last_per_key(
         new.select("uri", *REFRESHED, *[c.alias(f"__o{i}") for i, c in enumerate(order)]),
         ["uri"],
         [F.col(f"__o{i}") for i in range(len(order))],
@@ -113,7 +114,7 @@ def chunk_metadata(chunks: DataFrame) -> DataFrame:
     def text_of(e: Column) -> Column:
         # One-entry JSON objects without their braces keep the escaping rules of the built-in writer.
         quoted = F.to_json(F.map_from_entries(F.array(e)))
-        bare = F.concat(F.lit('{"'), e["key"], F.lit('":'), e["value"], F.lit("}"))
+        bare = F.concat(F.lit('{"'), e["key"], F.lit('":'), F.coalesce(e["value"], F.lit("null")), F.lit("}"))
         return F.regexp_replace(F.when(e["key"].isin(*numbers), bare).otherwise(quoted), r"^\{|\}$", "")
 
     return chunks.withColumn("metadata", F.concat(F.lit("{"), F.array_join(F.transform(entries, text_of), ","), F.lit("}")))
@@ -128,7 +129,10 @@ def ingest_report(documents: DataFrame, existing: DataFrame, batch: DataFrame) -
         .join(documents.select(F.col("id").alias("document_id"), "file_name"), "document_id")
         .withColumn("inserted", F.coalesce("inserted", F.lit(0)))
     )
-    return per_file.rollup("file_name").agg(F.sum("embedded").alias("embedded"), F.sum("inserted").alias("inserted"))
+    sums = per_file.rollup("document_id", "file_name").agg(
+        F.sum("embedded").alias("embedded"), F.sum("inserted").alias("inserted"), F.grouping_id().alias("level")
+    )
+    return sums.where(F.col("level").isin(0, 3)).select("file_name", "embedded", "inserted")
 
 
 def fk_violations(chunks: DataFrame, documents: DataFrame, configs: DataFrame) -> DataFrame:

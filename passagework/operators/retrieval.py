@@ -71,9 +71,12 @@ def search(
 
     ``queries``: query_id, embedding and optionally top_k (null means ``k``). ``metric`` is cosine, l2 or inner; the
     score is the similarity, the distance or the product. Chunks are ranked on (key, vector) alone, and only the ranked
-    rows are joined to contents and documents; every chunk must have its document (see ``provenance.fk_violations``).
+    rows are joined to contents and documents. With ``documents``, chunks without their document are left out before the
+    ranking, so they take no rank. A query with a ``top_k`` below 1 gives no row.
     """
     pool = _of_config(chunks, config_hash)
+    if documents is not None:
+        pool = pool.join(documents.select(F.col("id").alias("document_id")).distinct(), "document_id", "left_semi").select(pool.columns)
     hits, small = nearest_sized(_with_limit(queries, k), pool, keys, DenseVectors(metric), max_broadcast)
     if metric == "l2":
         hits = hits.withColumn("score", -F.col("score"))

@@ -48,10 +48,13 @@ def ship_package(spark: SparkSession) -> SparkSession:
 def scratch_root(spark: SparkSession) -> str:
     """The cluster's shared folder, read from ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, a laptop) a local folder is made and remembered in the session.
+    Only where that setting is absent on a local master (tests, a laptop) a local folder is made and remembered in the session;
+    executors of a cluster would each write to their own disk, so there the setting is required.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("passagework.scratch", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="passagework-")
         spark.conf.set("passagework.scratch", found)
     return found.rstrip("/")
