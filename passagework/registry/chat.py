@@ -130,7 +130,7 @@ def command_segments(spark, folder):
 
 @query(
     "last_sources",
-    f"""WITH {SEGMENTS_SQL}, {_vector_sql(COSINE_SQL, 'score DESC')},
+    f"""WITH {SEGMENTS_SQL}, {_vector_sql(COSINE_SQL, 'score DESC', where='c.vec_id IN (SELECT doc_id FROM documents)')},
 found AS (SELECT s.conv_id, s.segment, s.question_no, h.rank, d.source || '/' || d.doc_id ||
    CASE WHEN h.c_label > 0 THEN ', p.' || h.c_label ELSE '' END AS location, round(h.score, 3) AS score
   FROM seg s JOIN hits h ON h.query_id = s.conv_id + s.turn JOIN documents d ON d.doc_id = h.document_id WHERE s.kind = 'question')
