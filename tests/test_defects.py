@@ -54,3 +54,11 @@ def test_local_scratch_needs_a_local_master(spark):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         scratch_root(Cluster)
+
+
+def test_report_keeps_documents_of_one_name_apart(spark):
+    rows = [("d1", 0, "x"), ("d1", 1, "y"), ("d2", 0, "z")]
+    batch = spark.createDataFrame(rows, "document_id string, chunk_index int, content string").withColumn("extraction_config_hash", F.lit("c"))
+    documents = spark.createDataFrame([("d1", "a.txt"), ("d2", "a.txt")], "id string, file_name string")
+    got = provenance.ingest_report(documents, batch.where("document_id = 'd2'"), batch).collect()
+    assert sorted((r.file_name or "", r.embedded, r.inserted) for r in got) == [("", 3, 2), ("a.txt", 1, 0), ("a.txt", 2, 2)]
