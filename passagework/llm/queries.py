@@ -7,22 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm import decontamination, extraction, hosts, language, licenses, mixing, pq, sharding, simhash, toxicity
+from passagework.llm import decontamination, extraction, hosts, language, licenses, mixing, pq, sharding, simhash, sql, toxicity
 from passagework.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, oracle: str | None = None):
     def register(fn: Callable[[SparkSession, str], DataFrame]):
         @functools.wraps(fn)
         def run(spark: SparkSession, folder: str) -> DataFrame:
             return fn(ship_package(spark), folder)
 
         QUERIES[name] = run
-        if sql is not None:
-            ORACLE[name] = sql
+        if oracle is not None:
+            ORACLE[name] = oracle
         return fn
 
     return register
@@ -32,22 +32,24 @@ def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
-@query("op1_host_trust")
+@query("op1_host_trust", sql.OP1)
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return hosts.url_verdicts(load(spark, folder, "pages"))
 
 
-@query("op2_embedding_pq")
+@query("op2_embedding_pq", sql.OP2)
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return pq.near_embeddings(load(spark, folder, "embeddings"))
 
 
-@query("op3_stupid_backoff")
+@query("op3_stupid_backoff", sql.OP3)
 def op3(spark: SparkSession, folder: str) -> DataFrame:
-    return language.stupid_backoff(load(spark, folder, "documents").select("doc_id", "text"))
+    """Sums are rounded to 6 decimals: engines differ in the last bits of a sum."""
+    scored = language.stupid_backoff(load(spark, folder, "documents").select("doc_id", "text"))
+    return scored.select("doc_id", "n_words", *[F.round(c, 6).alias(c) for c in ("log_score", "mean_log_score")])
 
 
-@query("op4_decontamination")
+@query("op4_decontamination", sql.OP4)
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     found = decontamination.contamination(load(spark, folder, "documents").select("doc_id", "text"), load(spark, folder, "benchmark"))
     return found.drop("spans")

@@ -3,7 +3,9 @@ import sys
 
 import pytest
 
-from passagework.llm.queries import QUERIES
+from oracle import compare
+
+from passagework.llm.queries import ORACLE, QUERIES
 
 FOLDER, MORE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
@@ -14,6 +16,11 @@ def test_query_returns_a_row_for_each_row(spark, name):
     assert QUERIES[name](spark, FOLDER).count() == spark.read.parquet(f"{FOLDER}/{table}.parquet").count()
 
 
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_query_matches_sql(spark, name):
+    assert compare(spark, name, FOLDER, QUERIES, ORACLE) == []
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
