@@ -27,7 +27,8 @@ def main() -> None:
     names = sys.argv[1:] or HEADLINE
     names = list(QUERIES) if names == ["all"] else names
     spark = build_session(
-        f"local[{cpus}]", int(cpus), **{"spark.ui.enabled": "false", "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"}
+        f"local[{cpus}]", int(cpus), **{"spark.ui.enabled": "false", "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false",
+                                      "spark.sql.files.maxPartitionBytes": str(1 << 20), "spark.sql.files.openCostInBytes": "0"}
     )
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1000).selectExpr("sum(id)").collect()

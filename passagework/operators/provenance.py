@@ -62,13 +62,12 @@ def insert_configs(existing: DataFrame, new: DataFrame) -> DataFrame:
     return existing.unionByName(once.join(existing, "config_hash", "left_anti"))
 
 
-def upsert_documents(existing: DataFrame, new: DataFrame, now: Column, order: list[Column] | None = None) -> DataFrame:
+def upsert_documents(existing: DataFrame, new: DataFrame, now: Column, order: list[Column]) -> DataFrame:
     """Documents after writing ``new`` by ``uri``.
 
     A known uri keeps id and created_at and takes the new values; an unknown one is inserted. When ``new`` names a uri
-    several times the last along ``order`` counts, by default along the refreshed values. Columns: id, uri, the refreshed ones, created_at, updated_at.
+    several times the last along ``order`` counts. Columns: id, uri, the refreshed ones, created_at, updated_at.
     """
-    order = order or [F.col(c) for c in REFRESHED]
     incoming = last_per_key(
         new.select("uri", *REFRESHED, *[c.alias(f"__o{i}") for i, c in enumerate(order)]),
         ["uri"],

@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 from passagework.functions.metadata import page_number_of
 from passagework.plans.checks import first_reason, split_on_reason
 from passagework.plans.nearest import (
-    MAX_BROADCAST_QUERIES,
+    BLOCK_BYTES,
+    MAX_BROADCAST_HITS,
     DenseVectors,
     SparseCounts,
     bucketed_nearest,
     nearest,
     nearest_sized,
 )
+from passagework.plans.stage import stage
 
 # Default number of chunks for chat and direct search, and for evaluation and request tables.
 CHAT_TOP_K = 5
@@ -65,22 +67,24 @@ def search(
     metric: str = "cosine",
     config_hash: str | None = None,
     keys: list[str] = CHUNK_KEYS,
-    max_broadcast: int = MAX_BROADCAST_QUERIES,
+    block_bytes: int = BLOCK_BYTES,
+    broadcast_hits: int = MAX_BROADCAST_HITS,
 ) -> DataFrame:
     """The ``k`` nearest chunks of every query, nearest first, ties by chunk key.
 
     ``queries``: query_id, embedding and optionally top_k (null means ``k``). ``metric`` is cosine, l2 or inner; the
     score is the similarity, the distance or the product. Chunks are ranked on (key, vector) alone, and only the ranked
     rows are joined to contents and documents. With ``documents``, chunks without their document are left out before the
-    ranking, so they take no rank. A query with a ``top_k`` below 1 gives no row.
+    ranking, so they take no rank. A query with a ``top_k`` below 1 gives no row. Query vectors go out in blocks of
+    ``block_bytes``; results of at most ``broadcast_hits`` rows (sum of all top_k) are broadcast to the contents.
     """
     pool = _of_config(chunks, config_hash)
     if documents is not None:
         pool = pool.join(documents.select(F.col("id").alias("document_id")).distinct(), "document_id", "left_semi").select(pool.columns)
-    hits, small = nearest_sized(_with_limit(queries, k), pool, keys, DenseVectors(metric), max_broadcast)
+    hits, bound = nearest_sized(_with_limit(queries, k), pool, keys, DenseVectors(metric), block_bytes)
     if metric == "l2":
         hits = hits.withColumn("score", -F.col("score"))
-    return attach_chunks(hits, pool, documents, keys, small)
+    return attach_chunks(hits, pool, documents, keys, bound <= broadcast_hits)
 
 
 def sparse_search(
@@ -88,15 +92,17 @@ def sparse_search(
     chunks: DataFrame,
     k: int = CHAT_TOP_K,
     keys: list[str] = CHUNK_KEYS,
-    max_broadcast: int = MAX_BROADCAST_QUERIES,
+    block_bytes: int = BLOCK_BYTES,
+    broadcast_hits: int = MAX_BROADCAST_HITS,
 ) -> DataFrame:
     """Cosine search over sparse integer vectors (``bucket``/``weight`` arrays, see ``embedding.hashed_counts``)."""
-    hits, small = nearest_sized(_with_limit(queries, k), chunks, keys, SparseCounts(), max_broadcast)
-    return attach_chunks(hits, chunks, None, keys, small)
+    hits, bound = nearest_sized(_with_limit(queries, k), chunks, keys, SparseCounts(), block_bytes)
+    return attach_chunks(hits, chunks, None, keys, bound <= broadcast_hits)
 
 
 def best_match(queries: DataFrame, corpus: DataFrame, key: str = "chunk_index") -> DataFrame:
     """(query_id, key, score) of the single most similar row with a score above 0; the first on ties, null when none."""
+    queries = stage(queries.select("query_id", "embedding"), "queries")
     one = nearest(queries.withColumn("top_k", F.lit(1)), corpus, [key]).filter(F.col("score") > 0)
     return queries.select("query_id").join(one.select("query_id", key, "score"), "query_id", "left")
 
@@ -114,6 +120,7 @@ def hyperplanes(tables: int, planes: int, dim: int) -> np.ndarray:
 
 
 def _buckets(rows: DataFrame, tables: int, planes: int, dim: int) -> DataFrame:
+    """``rows`` once per table with their bucket there; they are hashed once and written, as several joins read them."""
     normals = hyperplanes(tables, planes, dim).reshape(tables * planes, dim).T
     weights = 2 ** np.arange(planes)
 
@@ -124,7 +131,8 @@ def _buckets(rows: DataFrame, tables: int, planes: int, dim: int) -> DataFrame:
             codes = above.reshape(len(vectors), tables, planes) @ weights
             yield pd.Series(list(codes.astype(np.int32)))
 
-    return rows.select("*", F.posexplode(sides(F.col("embedding"))).alias("table_no", "bucket_no"))
+    hashed = stage(rows.withColumn("__codes", sides(F.col("embedding"))), "hashed")
+    return hashed.select(*rows.columns, F.posexplode("__codes").alias("table_no", "bucket_no"))
 
 
 def approx_search(

@@ -33,15 +33,9 @@ def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the input is one small file; inputs with enough splits are left as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def document_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Every document as one page."""
-    docs = spread(load(spark, folder, "documents"))
+    docs = load(spark, folder, "documents")
     return docs.select(
         F.col("doc_id").alias("document_id"), F.lit(1).alias("page_number"), F.col("text").alias("content"), "lang", "source"
     )
@@ -51,7 +45,7 @@ def line_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Every line of a document as a page."""
     from passagework.operators.pages import physical_pages
 
-    docs = spread(load(spark, folder, "documents")).withColumnRenamed("doc_id", "document_id")
+    docs = load(spark, folder, "documents").withColumnRenamed("doc_id", "document_id")
     return physical_pages(docs, "document_id", "text", "\n")
 
 

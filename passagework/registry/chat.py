@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from passagework.functions.text import truncate_text as cut_text
 from passagework.operators import conversations, embedding, prompts, retrieval
-from passagework.registry.base import load, query, spread, sql_hashed_topk
+from passagework.registry.base import load, query, sql_hashed_topk
 from passagework.registry.search import (
     COSINE_SQL, DIM, _vector_sql, named_documents, text_hits, text_hits_sql, vector_chunks, vector_queries,
 )
@@ -90,7 +90,7 @@ def first_turn_prompt(spark, folder):
     turns = load(spark, folder, "conversations")
     first = turns.filter("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
     provider = embedding.hashing_provider(DIM)
-    docs = spread(load(spark, folder, "documents")).select(F.col("doc_id").alias("document_id"), "text")
+    docs = load(spark, folder, "documents").select(F.col("doc_id").alias("document_id"), "text")
     found = retrieval.best_match(
         embedding.embed_chunks(first.withColumnRenamed("conv_id", "query_id"), provider, "hashing"),
         embedding.embed_chunks(docs, provider, "hashing"),

@@ -9,7 +9,7 @@ from passagework.functions import metadata as M
 from passagework.functions import vectors as V
 from passagework.operators import chunking, pages
 from passagework.registry.base import (
-    DOC_PAGES_SQL, LINE_PAGES_SQL, document_pages, line_pages, load, query, spread, sql_chunk_tables,
+    DOC_PAGES_SQL, LINE_PAGES_SQL, document_pages, line_pages, load, query, sql_chunk_tables,
 )
 from passagework.session import scratch_path
 from passagework.sources import evalset, files, markup, tables
@@ -170,7 +170,7 @@ ev AS (SELECT page_id, CAST(generate_subscripts(es, 1) - 1 AS INTEGER) AS seq, u
 
 @query("markup_events", f"WITH {EVENTS_SQL} SELECT page_id, seq, kind, text FROM ev")
 def markup_events(spark, folder):
-    return markup.markup_events(spread(load(spark, folder, "pages")), "page_id", "html", "html")
+    return markup.markup_events(load(spark, folder, "pages"), "page_id", "html", "html")
 
 
 PAGES_SQL = f"""{EVENTS_SQL},
@@ -183,7 +183,7 @@ assembled AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER
 
 @query("page_assembly", f"WITH {PAGES_SQL} SELECT page_id, page_number, content FROM assembled")
 def page_assembly(spark, folder):
-    docs = spread(load(spark, folder, "pages"))
+    docs = load(spark, folder, "pages")
     return pages.assemble_pages(markup.markup_events(docs, "page_id", "html", "html"), docs.select("page_id"), "page_id")
 
 

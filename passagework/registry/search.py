@@ -9,7 +9,7 @@ from passagework.operators import chunking, embedding, retrieval
 from passagework.plans.nearest import nearest
 from passagework.plans.stage import stage
 from passagework.registry.base import (
-    DOC_PAGES_SQL, document_pages, load, query, spread, sql_chunk_tables, sql_hashed_topk,
+    DOC_PAGES_SQL, document_pages, load, query, sql_chunk_tables, sql_hashed_topk,
 )
 
 DIM = 256
@@ -22,7 +22,7 @@ def vector_queries(spark, folder):
 
 def vector_chunks(spark, folder):
     """Every vector is chunk 0 of the document with its number."""
-    return spread(load(spark, folder, "embeddings")).select(
+    return load(spark, folder, "embeddings").select(
         F.col("vec_id").alias("document_id"), F.lit(0).alias("chunk_index"), "embedding", "label"
     )
 
@@ -193,7 +193,7 @@ def sparse_topk(spark, folder):
 SELECT i.query_id, h.document_id, round(h.score, 6) AS score FROM items i LEFT JOIN hits h ON i.query_id = h.query_id AND h.score > 0""",
 )
 def best_match(spark, folder):
-    docs = spread(load(spark, folder, "documents")).select(F.col("doc_id").alias("document_id"), "text")
+    docs = load(spark, folder, "documents").select(F.col("doc_id").alias("document_id"), "text")
     corpus = embedding.embed_chunks(docs, embedding.hashing_provider(DIM), "hashing")
     found = retrieval.best_match(text_queries(spark, folder), corpus, "document_id")
     return found.select("query_id", "document_id", F.round("score", 6).alias("score"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from passagework.operators import chunking, provenance
-from passagework.registry.base import DOC_PAGES_SQL, document_pages, load, query, spread, sql_chunk_tables
+from passagework.registry.base import DOC_PAGES_SQL, document_pages, load, query, sql_chunk_tables
 from passagework.registry.ingest import HANDLERS, WITH_HTML, document_files
 from passagework.session import scratch_path
 from passagework.sources import files, tables
@@ -24,8 +24,8 @@ def _changed():
     return F.when(F.col("lang") == "de", F.concat(text, F.lit("\nNeu. "), text)).otherwise(text)
 
 
-def _facts(rows):
-    facts = files.file_facts(rows.select("uri", F.encode("text", "UTF-8").alias("content")))
+def _facts(rows, *keep):
+    facts = files.file_facts(rows.select("*", F.encode("text", "UTF-8").alias("content")), *keep)
     return facts.withColumn("metadata", F.lit("{}"))
 
 
@@ -134,15 +134,15 @@ FROM stored s FULL OUTER JOIN last i ON s.uri = i.uri""",
 )
 def document_upsert(spark, folder):
     """A page address met twice is written twice; the last write (largest text) counts."""
-    incoming = incoming_sources(spark, folder).groupBy("uri").agg(F.max("text").alias("text"))
-    merged = provenance.upsert_documents(stored_documents(spark, folder), _facts(incoming), F.lit(NOW).cast("timestamp"))
+    incoming, now = _facts(incoming_sources(spark, folder), "text"), F.lit(NOW).cast("timestamp")
+    merged = provenance.upsert_documents(stored_documents(spark, folder), incoming, now, [F.col("text")])
     stamp = [F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("created_at", "updated_at")]
     return merged.select("id", "uri", "file_name", "byte_size", "content_hash", *stamp)
 
 
 def chunk_rows(spark, folder, changed, config, size=2048):
     """Stored-form chunks of all documents, as they are or with the German ones changed."""
-    pages = spread(load(spark, folder, "documents")).select(
+    pages = load(spark, folder, "documents").select(
         F.col("doc_id").cast("string").alias("document_id"), F.lit(1).alias("page_number"),
         (_changed() if changed else F.col("text")).alias("content"),
     )

@@ -39,14 +39,14 @@ def ids(df):
 
 
 @pytest.mark.parametrize("metric", ["cosine", "l2", "inner"])
-@pytest.mark.parametrize("bound", [1000, 3])
+@pytest.mark.parametrize("bound", [100_000, 200])
 def test_equals_brute_force_with_copies_and_zero_vectors(spark, metric, bound):
     c = rng.normal(size=(900, 8))
     c[::3] = c[0]  # one vector holds a third of all rows
     c[5] = 0
     q = np.vstack([c[0], c[1], -c[0], rng.normal(size=(4, 8)), np.zeros((1, 8))])
     chunks = frame(spark, "c", c).repartition(5)
-    got = ids(retrieval.search(frame(spark, "q", q), chunks, k=7, metric=metric, max_broadcast=bound))
+    got = ids(retrieval.search(frame(spark, "q", q), chunks, k=7, metric=metric, block_bytes=bound))
     assert got == brute(q, c, 7, metric)
 
 
@@ -125,3 +125,22 @@ def test_requests(spark):
     good, bad = retrieval.validate_requests(spark.createDataFrame(rows, "id int, question string, top_k int"))
     assert {r.id for r in good.collect()} == {2, 4}
     assert {r.id: r.reason for r in bad.collect()} == {1: "question is empty", 3: "top_k is below 1", 5: "question is empty"}
+
+
+def test_queries_are_embedded_once_and_windows_bounded(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    def factory():
+        def provide(texts):
+            asked.add(len(texts))
+            return [(i, [1.0, float(len(t))]) for i, t in enumerate(texts)]
+
+        return provide
+
+    texts = spark.createDataFrame([(i, "x" * i) for i in range(9)], "query_id int, text string")
+    corpus = frame(spark, "c", rng.normal(size=(60, 2)))
+    found = retrieval.search(embedding.embed_chunks(texts, factory, "m"), corpus, k=2, block_bytes=150)
+    assert found.count() == 18 and asked.value == 9
+    assert found._jdf.queryExecution().sparkPlan().toString().count("WindowGroupLimit") >= 2
+    retrieval.best_match(embedding.embed_chunks(texts, factory, "m"), corpus.drop("chunk_index"), "document_id").collect()
+    assert asked.value == 18
