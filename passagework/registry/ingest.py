@@ -183,8 +183,7 @@ assembled AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER
 
 @query("page_assembly", f"WITH {PAGES_SQL} SELECT page_id, page_number, content FROM assembled")
 def page_assembly(spark, folder):
-    docs = load(spark, folder, "pages")
-    return pages.assemble_pages(markup.markup_events(docs, "page_id", "html", "html"), docs.select("page_id"), "page_id")
+    return pages.numbered_pages(load(spark, folder, "pages"), "page_id", markup.DIALECTS["html"](F.col("html")))
 
 
 @query("physical_pages", f"WITH {LINE_PAGES_SQL} SELECT document_id, page_number, content FROM pg")

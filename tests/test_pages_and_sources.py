@@ -66,6 +66,38 @@ def test_word_events(spark):
     ]
 
 
+def test_word_boxes_nested_and_merged_cells():
+    def p(inner):
+        return f"<w:p>{inner}</w:p>"
+
+    def r(text):
+        return f"<w:r><w:t>{text}</w:t></w:r>"
+
+    def tc(inner, props=""):
+        return f"<w:tc><w:tcPr>{props}</w:tcPr>{inner}</w:tc>"
+
+    box = p(r("A") + f"<w:r><w:drawing><w:txbxContent>{p(r('B'))}</w:txbxContent></w:drawing></w:r>" + r("C"))
+    nested = f"<w:tbl><w:tr>{tc(p(r('deep')))}</w:tr></w:tbl>"
+    table = (f"<w:tbl><w:tr>{tc(p(r('top')), '<w:vMerge w:val=\"restart\"/>')}{tc(p(r('x')) + nested)}</w:tr>"
+             f"<w:tr>{tc(p(''), '<w:vMerge/>')}{tc(p(r('y')))}</w:tr></w:tbl>")
+    control = f"<w:sdt><w:sdtContent>{p(r('skipped'))}</w:sdtContent></w:sdt>"
+    xml = f"<w:document {W}><w:body>{box}{control}{table}{p(r('end'))}</w:body></w:document>"
+    assert [t for _, t in markup.word_events(xml)] == ["ABC", "top\tx", "top\ty", "end"]
+    assert markup.word_events(None) == []
+
+
+def test_pages_in_row_equal_assembled_pages(spark):
+    b, t = ("break", ""), lambda x: ("text", x)
+    events = {"breaks": [b, b, t("one"), t(" "), t("two"), b, b, t("three"), b], "blank": [t("  "), b, t("")], "plain": [t("x")], "none": []}
+    rows = spark.createDataFrame(list(events.items()), "doc string, es array<struct<kind:string,text:string>>")
+    found = P.numbered_pages(rows, "doc", F.col("es"))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString().split("LocalTableScan")[0]
+    got = {}
+    for r in found.orderBy("doc", "page_number").collect():
+        got.setdefault(r.doc, []).append((r.page_number, r.content))
+    assert got == assembled(spark, events, list(events))
+
+
 def test_word_file_end_to_end(spark, tmp_path):
     def archive(path, xml, core=None):
         with zipfile.ZipFile(path, "w") as z:
