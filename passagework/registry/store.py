@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from passagework.operators import chunking, provenance
+from passagework.operators import chunking, embedding, ingest, provenance
 from passagework.registry.base import DOC_PAGES_SQL, document_pages, load, query, sql_chunk_tables
-from passagework.registry.ingest import HANDLERS, WITH_HTML, document_files
+from passagework.registry.ingest import HANDLERS, PAGES_SQL, WITH_HTML, document_files
 from passagework.session import scratch_path
-from passagework.sources import files, tables
+from passagework.sources import files, markup, tables
 
 STORED_AT, NOW = "2024-01-01 00:00:00", "2024-06-01 00:00:00"
 CHANGED_SQL = "CASE WHEN lang = 'de' THEN text || chr(10) || 'Neu. ' || text ELSE text END"
@@ -306,3 +306,63 @@ FROM u GROUP BY extraction_config_hash""",
 def config_inventory(spark, folder):
     one, two = chunk_rows(spark, folder, False, "one"), chunk_rows(spark, folder, True, "two")
     return provenance.config_inventory(one.unionByName(two))
+
+
+RUN = ("1.0", "recursive", '{"chunk_size": 256, "min_characters_per_chunk": 24}', "hashing", "local", 64, "character")
+RUN_COLUMNS = (
+    "chonkie_ver string, chunking_method string, chunking_method_params string, embedding_model string, "
+    "embedding_provider string, embedding_size int, tokenizer string"
+)
+INGESTED_SQL = f"""WITH {PAGES_SQL},
+pg AS (SELECT 'page-' || page_id AS document_id, page_number, content FROM assembled
+ UNION ALL SELECT 'doc-' || doc_id, 1, text || chr(10) FROM documents),
+{sql_chunk_tables('pg', '256')},
+numbered AS (SELECT *, CAST(row_number() OVER (PARTITION BY document_id ORDER BY page_number, piece_no) - 1 AS INTEGER) AS chunk_index FROM ch)"""
+
+
+def _write_files(spark, folder):
+    """Every web page as an HTML file and every document as a text file; their folder says which row they are."""
+    path = scratch_path(spark, "sources")
+    web = load(spark, folder, "pages").select(F.col("html").alias("value"), F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("row"))
+    web.write.partitionBy("row").text(f"{path}/html")
+    docs = load(spark, folder, "documents").select(F.col("text").alias("value"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("row"))
+    docs.write.partitionBy("row").text(f"{path}/txt")
+    return path
+
+
+def _plain_pages(rows):
+    """Files written by Spark all end in .txt, so the folder says which of the two formats a file has."""
+    is_web = F.col("uri").contains("/html/")
+    return markup.html_pages(rows.filter(is_web)).unionByName(markup.text_pages(rows.filter(~is_web)))
+
+
+@query(
+    "file_ingest",
+    f"""{INGESTED_SQL}
+SELECT document_id, chunk_index, page_number, start_index, end_index, text AS content, CAST(length(text) AS INTEGER) AS token_count,
+ 64 AS dim, 0::BIGINT AS added_again, 0::BIGINT AS violations FROM numbered""",
+)
+def file_ingest(spark, folder):
+    """All files are taken in twice; the second run adds nothing and the audits of the stored tables find nothing."""
+    source, store = _write_files(spark, folder), scratch_path(spark, "store")
+    handler = files.Handler("PlainHandler", "1", ("TEXT",), _plain_pages)
+    runs, now = spark.createDataFrame([RUN], RUN_COLUMNS), F.lit(NOW).cast("timestamp")
+    for batch in ("first", "second"):
+        report, _ = ingest.ingest_files(
+            spark, source, store, batch, [handler], runs, embedding.hashing_provider(64), 64, "hashing", {"txt": "TEXT"}, now, (".txt",)
+        )
+    chunks, documents = ingest.stored_chunks(spark, store), ingest.current_documents(spark, store)
+    broken = provenance.fk_violations(chunks, documents, ingest.stored_configs(spark, store)).select("violation")
+    repeated = provenance.key_violations(chunks, provenance.CHUNK_KEY, ["document_id", "content", "metadata", "embedding"]).select("violation")
+    audit = broken.unionByName(repeated).agg(F.count(F.lit(1)).alias("violations"))
+    again = report.agg(F.coalesce(F.sum("inserted"), F.lit(0)).alias("added_again"))
+    names = documents.select(F.col("id").alias("document_id"), F.regexp_extract("uri", "/row=([^/]*)/", 1).alias("row"))
+
+    def number(name):
+        return F.get_json_object("metadata", f"$.{name}").cast("int").alias(name)
+
+    rows = chunks.join(names, "document_id").select(
+        F.col("row").alias("document_id"), "chunk_index", number("page_number"), number("start_index"), number("end_index"), "content", "token_count",
+        F.size("embedding").alias("dim"),
+    )
+    return rows.join(F.broadcast(again)).join(F.broadcast(audit))
