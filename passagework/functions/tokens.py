@@ -2,19 +2,21 @@
 from __future__ import annotations
 
 import functools
+import os
 import re
 
 import pandas as pd
 from pyspark.sql import functions as F
 
 
+#: Where the 50k byte-level BPE vocabulary is looked for when no path is given.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+
+
 def default_vocabulary() -> str:
-    """Place of the 50k byte-level BPE vocabulary where the environment ships one."""
-    try:
-        import public_tokenizers
-    except ImportError as missing:
-        raise RuntimeError("pass the path of a byte-level BPE tokenizer file") from missing
-    return public_tokenizers.path("byte_bpe_50k.json")
+    if not os.path.exists(VOCABULARY):
+        raise RuntimeError("pass the path of a byte-level BPE tokenizer file")
+    return VOCABULARY
 
 
 @functools.lru_cache(maxsize=2)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from passagework.functions.text import join_ordered
 from passagework.operators import chunking, embedding, ingest, provenance
 from passagework.registry.base import DOC_PAGES_SQL, document_pages, load, query, sql_chunk_tables
 from passagework.registry.ingest import HANDLERS, PAGES_SQL, WITH_HTML, document_files
@@ -313,20 +314,27 @@ RUN_COLUMNS = (
     "chonkie_ver string, chunking_method string, chunking_method_params string, embedding_model string, "
     "embedding_provider string, embedding_size int, tokenizer string"
 )
-INGESTED_SQL = f"""WITH {PAGES_SQL},
+#: Rows whose texts make up one file.
+PER_FILE = 16
+INGESTED_SQL = f"""WITH web AS (SELECT page_id // {PER_FILE} AS page_id, string_agg(html, chr(10) ORDER BY page_id) AS html FROM pages GROUP BY page_id // {PER_FILE}),
+{PAGES_SQL.replace('FROM pages', 'FROM web')},
 pg AS (SELECT 'page-' || page_id AS document_id, page_number, content FROM assembled
- UNION ALL SELECT 'doc-' || doc_id, 1, text || chr(10) FROM documents),
+ UNION ALL SELECT 'doc-' || doc_id // {PER_FILE}, 1, string_agg(text, chr(10) ORDER BY doc_id) || chr(10) FROM documents GROUP BY doc_id // {PER_FILE}),
 {sql_chunk_tables('pg', '256')},
 numbered AS (SELECT *, CAST(row_number() OVER (PARTITION BY document_id ORDER BY page_number, piece_no) - 1 AS INTEGER) AS chunk_index FROM ch)"""
 
 
 def _write_files(spark, folder):
-    """Every web page as an HTML file and every document as a text file; their folder says which row they are."""
+    """Web pages as HTML files and documents as text files, sixteen neighbours in each; the folder names the file."""
     path = scratch_path(spark, "sources")
-    web = load(spark, folder, "pages").select(F.col("html").alias("value"), F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("row"))
-    web.write.partitionBy("row").text(f"{path}/html")
-    docs = load(spark, folder, "documents").select(F.col("text").alias("value"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("row"))
-    docs.write.partitionBy("row").text(f"{path}/txt")
+
+    def write(table, key, column, prefix, place):
+        row = F.concat(F.lit(prefix), F.floor(F.col(key) / PER_FILE).cast("string")).alias("row")
+        texts = load(spark, folder, table).groupBy(row).agg(join_ordered([F.col(key)], F.col(column), "\n").alias("value"))
+        texts.write.partitionBy("row").text(f"{path}/{place}")
+
+    write("pages", "page_id", "html", "page-", "html")
+    write("documents", "doc_id", "text", "doc-", "txt")
     return path
 
 
