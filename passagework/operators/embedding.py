@@ -2,11 +2,12 @@
 from __future__ import annotations
 
 import hashlib
-import re
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,14 +75,14 @@ def embed_chunks(
     return chunks.mapInPandas(embed, schema)
 
 
-# -- built-in provider: signed feature hashing of lower-cased ASCII words --------------------------------------------
+# -- built-in provider: signed feature hashing of words (runs of letters and digits; A-Z are lower-cased) ------------
 
-WORD = re.compile("[A-Za-z]+")
+WORD = regex.compile(r"[\p{L}\p{N}]+")
 _CACHE_LIMIT = 1_000_000
 
 
 def _hash_word(word: str) -> tuple[int, int]:
-    digest = hashlib.md5(word.encode()).hexdigest()
+    digest = hashlib.md5(word.encode().lower()).hexdigest()  # lower() of bytes folds A-Z only
     return int(digest[:8], 16), 1 if digest[8] < "8" else -1
 
 
@@ -91,14 +92,16 @@ class _WordHashes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > _CACHE_LIMIT:
             self.clear()
-        code, sign = _hash_word(word.lower())
+        code, sign = _hash_word(word)
         self[word] = signed = (code + 1) * sign
         return signed
 
-    def codes(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        words = WORD.findall(text)
-        signed = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return np.abs(signed) - 1, np.sign(signed)
+    def codes(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, code and sign of every word of a batch of texts; a null text has no words."""
+        found = [WORD.findall(t or "") for t in texts]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        signed = np.fromiter(map(self.__getitem__, itertools.chain.from_iterable(found)), np.int64, int(lengths.sum()))
+        return np.repeat(np.arange(len(found)), lengths), np.abs(signed) - 1, np.sign(signed)
 
 
 def hashing_provider(dim: int) -> Callable[[], Provider]:
@@ -108,11 +111,9 @@ def hashing_provider(dim: int) -> Callable[[], Provider]:
         hashes = _WordHashes()
 
         def provide(texts: list[str]) -> list[tuple[int, list[float]]]:
-            out = []
-            for i, text in enumerate(texts):
-                codes, signs = hashes.codes(text)
-                out.append((i, np.bincount(codes % dim, weights=signs, minlength=dim)))
-            return out
+            rows, codes, signs = hashes.codes(texts)
+            sums = np.bincount(rows * dim + codes % dim, weights=signs, minlength=len(texts) * dim)
+            return list(enumerate(sums.reshape(len(texts), dim)))
 
         return provide
 
@@ -132,14 +133,13 @@ def hashed_counts(rows: DataFrame, text: str, dim: int) -> DataFrame:
     def sparse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         hashes = _WordHashes()
         for texts in batches:
-            buckets, weights = [], []
-            for value in texts:
-                codes, signs = hashes.codes(value)
-                bucket, place = np.unique(codes % dim, return_inverse=True)
-                weight = np.bincount(place, weights=signs, minlength=len(bucket)).astype(np.int64)
-                buckets.append(bucket[weight != 0])
-                weights.append(weight[weight != 0])
-            yield pd.DataFrame({"bucket": buckets, "weight": weights})
+            rows, codes, signs = hashes.codes(texts.tolist())
+            cells, place = np.unique(rows * dim + codes % dim, return_inverse=True)
+            weight = np.bincount(place, weights=signs, minlength=len(cells)).astype(np.int64)
+            cells, weight = cells[weight != 0], weight[weight != 0]
+            ends = np.searchsorted(cells, np.arange(1, len(texts)) * dim)
+            both = {"bucket": np.split(cells % dim, ends), "weight": np.split(weight, ends)}
+            yield pd.DataFrame(both).head(len(texts))
 
     return rows.withColumn("__s", sparse(F.col(text))).select("*", "__s.bucket", "__s.weight").drop("__s")
 

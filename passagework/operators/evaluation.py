@@ -2,7 +2,7 @@
 
 The scores are our own definitions from standard retrieval measures. Verdicts may come from any judge; the built-in one is
 lexical: a reference sentence is supported (a context is relevant) when at least ``theta`` of its (of the reference's)
-distinct ``[a-z]+`` words occur in one context.
+distinct words occur in one context. Words are runs of letters and digits of any script; A-Z are lower-cased.
 """
 from __future__ import annotations
 
@@ -15,8 +15,11 @@ DEFAULT_THETA = 0.6
 DEFAULT_FACT_WEIGHT = 0.75
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
 def word_set(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z]+"), F.lit(0)), F.lower))
+    return F.array_distinct(F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
 
 
 def eval_table(samples: DataFrame, results: DataFrame, answers: DataFrame) -> DataFrame:
@@ -66,17 +69,31 @@ def relevance_verdicts(samples: DataFrame, results: DataFrame, theta: float = DE
     return every.join(hits, ["sample_id", "rank"], "left").withColumn("relevant", F.coalesce("relevant", F.lit(0)))
 
 
-def context_recall(verdicts: DataFrame) -> DataFrame:
-    """(sample_id, context_recall): share of the reference sentences some context supports."""
-    return verdicts.groupBy("sample_id").agg(F.avg("supported").alias("context_recall"))
+def _of_samples(scores: DataFrame, samples: DataFrame | None) -> DataFrame:
+    """``scores`` with a row of 0 for each of ``samples`` that has none."""
+    if samples is None:
+        return scores
+    name = scores.columns[-1]
+    return samples.select("sample_id").join(scores, "sample_id", "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+
 
+def context_recall(verdicts: DataFrame, samples: DataFrame | None = None) -> DataFrame:
+    """(sample_id, context_recall): share of the reference sentences some context supports.
+
+    With ``samples`` every sample has a row; a reference without a word supports nothing and scores 0.
+    """
+    return _of_samples(verdicts.groupBy("sample_id").agg(F.avg("supported").alias("context_recall")), samples)
 
-def context_precision(verdicts: DataFrame) -> DataFrame:
-    """(sample_id, context_precision): average precision over the ranked contexts, 0 when none is relevant."""
+
+def context_precision(verdicts: DataFrame, samples: DataFrame | None = None) -> DataFrame:
+    """(sample_id, context_precision): average precision over the ranked contexts, 0 when none is relevant.
+
+    With ``samples`` every sample has a row, 0 where nothing was retrieved.
+    """
     so_far = Window.partitionBy("sample_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     at = verdicts.withColumn("precision", F.sum("relevant").over(so_far) / F.col("rank"))
     mean = F.try_divide(F.sum(F.col("precision") * F.col("relevant")), F.sum("relevant"))
-    return at.groupBy("sample_id").agg(F.coalesce(mean, F.lit(0.0)).alias("context_precision"))
+    return _of_samples(at.groupBy("sample_id").agg(F.coalesce(mean, F.lit(0.0)).alias("context_precision")), samples)
 
 
 def fact_counts(samples: DataFrame) -> DataFrame:
@@ -99,7 +116,8 @@ def answer_correctness(facts: DataFrame, similarity: DataFrame, weight: float =
 def eval_report(samples: DataFrame, recall: DataFrame, precision: DataFrame, correctness: DataFrame) -> DataFrame:
     """Scores per question plus one row of means (null sample_id); no rows at all for an empty set.
 
-    A sample lacking a score stops the job: an average must not skip it silently.
+    A sample lacking a score stops the job: an average must not skip it silently. Rows and means are grouping sets of one
+    joined table, so no score is computed twice.
     """
     out = samples.select("sample_id", "user_input")
     names = []
@@ -109,10 +127,5 @@ def eval_report(samples: DataFrame, recall: DataFrame, precision: DataFrame, cor
         failure = F.raise_error(F.concat(F.lit(f"no {name} for sample "), F.col("sample_id").cast("string")))
         out = out.withColumn(name, F.coalesce(F.col(name), failure.cast("double")))
         names.append(name)
-    means = out.agg(F.count(F.lit(1)).alias("n"), *[F.avg(n).alias(n) for n in names]).filter("n > 0")
-    total = means.select(
-        F.lit(None).cast(samples.schema["sample_id"].dataType).alias("sample_id"),
-        F.lit(None).cast("string").alias("user_input"),
-        *names,
-    )
-    return out.select("sample_id", "user_input", *names).unionByName(total)
+    each = [F.col("sample_id"), F.col("user_input")]
+    return out.groupingSets([each, []], *each).agg(*[F.avg(n).alias(n) for n in names]).select("sample_id", "user_input", *names)

@@ -116,11 +116,16 @@ LINE_PAGES_SQL = (
 )
 
 
+def sql_words(text: str) -> str:
+    """List of the words of a text: runs of letters and digits, A-Z lower-cased."""
+    return f"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\p{{L}}\\p{{N}}]+')"
+
+
 def sql_hashed(source: str, keys: str, dim: int, name: str) -> str:
     """CTE ``name``: keys, b, w of the hashed word counts of ``source``.text."""
     return (
-        f"{name}_t AS (SELECT {keys}, word, count(*) AS n FROM (SELECT {keys}, lower(unnest(regexp_extract_all(text,"
-        f" '[A-Za-z]+'))) AS word FROM {source}) GROUP BY ALL),\n"
+        f"{name}_t AS (SELECT {keys}, word, count(*) AS n FROM (SELECT {keys}, unnest({sql_words('text')}) AS word"
+        f" FROM {source}) GROUP BY ALL),\n"
         f"{name} AS (SELECT {keys}, CAST('0x' || substr(md5(word), 1, 8) AS BIGINT) % {dim} AS b,"
         f" CAST(sum(CASE WHEN substr(md5(word), 9, 1) < '8' THEN n ELSE -n END) AS BIGINT) AS w"
         f" FROM {name}_t GROUP BY ALL HAVING sum(CASE WHEN substr(md5(word), 9, 1) < '8' THEN n ELSE -n END) <> 0)"

@@ -6,14 +6,17 @@ from pyspark.sql import functions as F
 from passagework.functions import vectors as V
 from passagework.operators import chunking, embedding, evaluation, prompts, retrieval
 from passagework.plans.stage import stage
-from passagework.registry.base import load, query, sql_hashed
+from passagework.registry.base import load, query, sql_hashed, sql_words
 from passagework.registry.search import COSINE_SQL, DIM, _vector_sql, text_hits, text_hits_sql, vector_chunks, vector_queries
 
 QUESTION = "^[^.!?]*[.!?]?"
 SAMPLES_SQL = f"""smp AS (SELECT item_id AS sample_id, regexp_extract(text, '{QUESTION}') AS user_input, text AS reference FROM benchmark),
 res AS (SELECT query_id AS sample_id, rank, content FROM found),
 ans AS (SELECT s.*, coalesce(r.content, '') AS response FROM smp s LEFT JOIN res r ON r.sample_id = s.sample_id AND r.rank = 1)"""
-WORDS = "list_distinct(list_transform(regexp_extract_all({}, '[A-Za-z]+'), lambda w: lower(w)))"
+
+
+def _words(text):
+    return f"list_distinct({sql_words(text)})"
 
 
 def samples(spark, folder):
@@ -58,17 +61,17 @@ def eval_table(spark, folder):
 
 RECALL_SQL = f"""sent AS (SELECT sample_id, generate_subscripts(ss, 1) AS no, unnest(ss) AS sentence FROM
   (SELECT sample_id, regexp_extract_all(reference, '{chunking.SENTENCES_AND_LINES}') AS ss FROM smp)),
-sw AS (SELECT sample_id, no, {WORDS.format('sentence')} AS words FROM sent),
-cw AS (SELECT sample_id, rank, {WORDS.format('content')} AS words FROM res),
+sw AS (SELECT sample_id, no, {_words('sentence')} AS words FROM sent),
+cw AS (SELECT sample_id, rank, {_words('content')} AS words FROM res),
 sup AS (SELECT s.sample_id, s.no, max(CASE WHEN len(list_intersect(s.words, c.words)) >= 0.6 * len(s.words) THEN 1 ELSE 0 END) AS supported
   FROM sw s JOIN cw c ON s.sample_id = c.sample_id WHERE len(s.words) > 0 GROUP BY ALL),
-recall AS (SELECT sample_id, avg(supported) AS context_recall FROM sup GROUP BY sample_id)"""
+recall AS (SELECT sample_id, coalesce(avg(supported), 0) AS context_recall FROM smp LEFT JOIN sup USING (sample_id) GROUP BY sample_id)"""
 
 
 @query("context_recall", f"WITH {text_hits_sql(15)}, {SAMPLES_SQL}, {RECALL_SQL} SELECT sample_id, round(context_recall, 6) AS context_recall FROM recall")
 def context_recall(spark, folder):
     verdicts = evaluation.support_verdicts(samples(spark, folder), results(spark, folder))
-    return evaluation.context_recall(verdicts).withColumn("context_recall", F.round("context_recall", 6))
+    return evaluation.context_recall(verdicts, samples(spark, folder)).withColumn("context_recall", F.round("context_recall", 6))
 
 
 @query(
@@ -91,7 +94,7 @@ def context_precision(spark, folder):
     return evaluation.context_precision(verdicts).withColumn("context_precision", F.round("context_precision", 6))
 
 
-CORRECT_SQL = f"""aw AS (SELECT sample_id, {WORDS.format('response')} AS a, {WORDS.format('reference')} AS r FROM ans),
+CORRECT_SQL = f"""aw AS (SELECT sample_id, {_words('response')} AS a, {_words('reference')} AS r FROM ans),
 facts AS (SELECT sample_id, len(list_intersect(a, r)) AS tp, len(a) - len(list_intersect(a, r)) AS fp, len(r) - len(list_intersect(a, r)) AS fn FROM aw),
 answer_t AS (SELECT sample_id, response AS text FROM ans), reference_t AS (SELECT sample_id, reference AS text FROM ans),
 {sql_hashed('answer_t', 'sample_id', DIM, 'ah')}, {sql_hashed('reference_t', 'sample_id', DIM, 'rh')},
@@ -112,11 +115,11 @@ def answer_correctness(spark, folder):
     return scores.withColumn("answer_correctness", F.round("answer_correctness", 6))
 
 
-PRECISION_SQL = f"""rw AS (SELECT sample_id, {WORDS.format('reference')} AS words FROM smp),
+PRECISION_SQL = f"""rw AS (SELECT sample_id, {_words('reference')} AS words FROM smp),
 rv AS (SELECT c.sample_id, c.rank, CASE WHEN len(list_intersect(r.words, c.words)) >= 0.6 * len(r.words) THEN 1 ELSE 0 END AS rel
   FROM cw c JOIN rw r ON r.sample_id = c.sample_id),
 rp AS (SELECT *, sum(rel) OVER (PARTITION BY sample_id ORDER BY rank) / rank::DOUBLE AS precision FROM rv),
-prec AS (SELECT sample_id, coalesce(sum(precision * rel) / nullif(sum(rel), 0), 0) AS context_precision FROM rp GROUP BY sample_id)"""
+prec AS (SELECT sample_id, coalesce(sum(precision * rel) / nullif(sum(rel), 0), 0) AS context_precision FROM smp LEFT JOIN rp USING (sample_id) GROUP BY sample_id)"""
 
 
 @query(
@@ -133,8 +136,8 @@ def eval_report(spark, folder):
     table = answered(spark, folder, found)
     report = evaluation.eval_report(
         rows,
-        evaluation.context_recall(evaluation.support_verdicts(rows, found)),
-        evaluation.context_precision(evaluation.relevance_verdicts(rows, found)),
+        evaluation.context_recall(evaluation.support_verdicts(rows, found), rows),
+        evaluation.context_precision(evaluation.relevance_verdicts(rows, found), rows),
         evaluation.answer_correctness(evaluation.fact_counts(table), similarity(table)),
     )
     names = ("context_recall", "context_precision", "answer_correctness")

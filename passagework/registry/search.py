@@ -162,11 +162,12 @@ found AS (SELECT h.query_id, h.rank, h.document_id, h.piece_no AS chunk_index, h
 
 @query(
     "batch_topk",
-    f"""WITH {text_hits_sql(15)} SELECT query_id, rank, document_id, chunk_index, round(score, 6) AS score, file_name, page_number FROM found""",
+    f"""WITH {text_hits_sql(15)} SELECT query_id, rank, document_id, chunk_index, score, file_name, page_number FROM found""",
 )
 def batch_topk(spark, folder):
+    """Scores have 9 decimals, as in the ranking; a second rounding would fall apart on halves."""
     return text_hits(spark, folder, retrieval.BATCH_TOP_K).select(
-        "query_id", "rank", "document_id", "chunk_index", F.round("score", 6).alias("score"), "file_name", "page_number"
+        "query_id", "rank", "document_id", "chunk_index", "score", "file_name", "page_number"
     )
 
 

@@ -146,3 +146,26 @@ def test_stream_counter(spark, tmp_path):
         spark.range(10).select((F.col("id") % 3).alias("k")).write.mode("append").parquet(src)
         counter.stream_counter(spark.readStream.schema("k bigint").parquet(src), "k", out, str(tmp_path / "cp"), start=1).awaitTermination()
     assert {r.k: r.counter for r in counter.latest_counters(spark, out, "k").collect()} == {0: 9, 1: 7, 2: 7}
+
+
+def test_words_of_any_script_are_judged_and_no_word_scores_zero(spark):
+    samples = spark.createDataFrame(
+        [(1, "q", "Москва стоит. Çay içilir."), (2, "r", "..."), (3, "s", "Alone here.")], "sample_id int, user_input string, reference string"
+    )
+    results = spark.createDataFrame([(1, 1, "МОСКВА Москва стоит"), (1, 2, "çay"), (2, 1, "text")], "sample_id int, rank int, content string")
+    recall = evaluation.context_recall(evaluation.support_verdicts(samples, results), samples)
+    assert {r.sample_id: r.context_recall for r in recall.collect()} == {1: 0.5, 2: 0.0, 3: 0.0}
+    precision = evaluation.context_precision(evaluation.relevance_verdicts(samples, results), samples)
+    correctness = samples.select("sample_id", F.lit(1.0).alias("answer_correctness"))
+    rows = evaluation.eval_report(samples, recall, precision, correctness).collect()
+    assert len(rows) == 4 and [round(r.context_recall, 6) for r in rows if r.sample_id is None] == [round(0.5 / 3, 6)]
+
+
+def test_hashed_words_of_a_batch(spark):
+    texts = ["Été ÉTÉ été x", None, "", "X x"]
+    vectors = dict(embedding.hashing_provider(512)()(texts))
+    assert abs(vectors[0]).sum() > 0 and not vectors[1].any() and not vectors[2].any()
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    for r in embedding.hashed_counts(rows, "t", 512).collect():
+        assert dict(zip(r.bucket, r.weight)) == {i: int(v) for i, v in enumerate(vectors[r.id]) if v}
+    assert vectors[3].tolist() == [2 * v for v in dict(embedding.hashing_provider(512)()(["x"]))[0].tolist()]
