@@ -1,88 +1,46 @@
-"""Incremental, replay-safe ingest: new source rows become documents, chunks and vectors once."""
+"""Incremental, replay-safe form of the ingest job: files that arrive become rows of the three stored tables once."""
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from passagework.operators.chunking import DEFAULT_MIN_CHARS, DEFAULT_SIZE, non_blank, number_chunks, recursive_chunks
-from passagework.operators.embedding import embed_chunks
-from passagework.operators.provenance import CHUNK_KEY, chunk_id, document_id
+from passagework.functions.text import file_extension
+from passagework.operators.ingest import ingest_found
 from passagework.plans.stage import stage
-from passagework.sources.files import file_facts
-from passagework.sources.tables import commit_batch, read_committed
+from passagework.sources.files import SUPPORTED_SUFFIXES, Handler
 
-DOCUMENT = (
-    "id string, uri string, file_name string, mime_type string, byte_size bigint, content_hash string, "
-    "extraction_config_hash string"
-)
-CHUNK = (
-    "id string, document_id string, chunk_index int, content string, token_count int, extraction_config_hash string, "
-    "embedding array<float>, embedding_model string"
-)
+#: Columns of Spark's reader of whole files.
+FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def current_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One row per uri as the upsert leaves it: values of the last batch that wrote it."""
-    rows = read_committed(spark, path, "documents", DOCUMENT)
-    columns = [c for c in rows.columns if c not in ("uri", "batch", "sequence")]
-    last = F.max_by(F.struct(*columns), "sequence").alias("d")
-    return rows.groupBy("uri").agg(last).select("d.id", "uri", *[f"d.{c}" for c in columns if c != "id"])
-
-
-def stored_chunks(spark: SparkSession, path: str) -> DataFrame:
-    return read_committed(spark, path, "chunks", CHUNK)
-
-
-def ingest_batch(
-    rows: DataFrame, batch: str, path: str, config_hash: str, provider_factory: Callable, model: str,
-    size: int, min_chars: int,
-) -> None:
-    """One micro-batch of (uri, content STRING). A replayed batch replaces its own unfinished attempt, nothing else."""
-    spark = rows.sparkSession
-    once = rows.groupBy("uri").agg(F.max("content").alias("content"))
-    documents = file_facts(once.select("uri", F.encode("content", "UTF-8").alias("content"))).select(
-        document_id(F.col("uri")).alias("id"), "*", F.lit(config_hash).alias("extraction_config_hash")
-    )
-    # A text already taken in under this config has all its chunks: it is neither chunked nor embedded again.
-    version = ["id", "content_hash", "extraction_config_hash"]
-    seen = read_committed(spark, path, "documents", DOCUMENT).select(*version).distinct()
-    changed = stage(
-        once.withColumn("id", document_id(F.col("uri")))
-        .withColumn("content_hash", F.sha2(F.encode("content", "UTF-8"), 256))
-        .withColumn("extraction_config_hash", F.lit(config_hash))
-        .join(seen, version, "left_anti")
-        .select(F.col("id").alias("document_id"), F.lit(1).alias("page_number"), "content"),
-        "changed",
-    )
-    chunks = number_chunks(recursive_chunks(changed, size, min_chars)).select(
-        chunk_id(F.col("document_id"), F.col("chunk_index"), F.lit(config_hash)).alias("id"),
-        "document_id", "chunk_index", F.col("text").alias("content"), "token_count",
-        F.lit(config_hash).alias("extraction_config_hash"),
-    )
-    # Known keys leave before the vectors are paid for; keys are unique within the batch.
-    known = read_committed(spark, path, "chunks", CHUNK).select(*CHUNK_KEY)
-    fresh = embed_chunks(chunks.join(known, CHUNK_KEY, "left_anti"), provider_factory, model, text="content")
-    # Documents without any chunk are not written.
-    chunked = non_blank(changed).select(F.col("document_id").alias("id")).unionByName(seen.select("id")).distinct()
-    columns = [field.split()[0] for field in CHUNK.split(", ")]
-    commit_batch(path, {"documents": documents.join(chunked, "id", "left_semi"), "chunks": fresh.select(*columns)}, batch)
+def arriving_files(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = SUPPORTED_SUFFIXES) -> DataFrame:
+    """Streaming (uri, arrived, content) of the supported files below ``folder``."""
+    files = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").load(folder)
+    wanted = files.filter(F.concat(F.lit("."), file_extension(F.col("path"))).isin(*suffixes))
+    return wanted.select(F.col("path").alias("uri"), F.col("modificationTime").alias("arrived"), "content")
 
 
 def stream_ingest(
-    source: DataFrame, path: str, checkpoint: str, config_hash: str, provider_factory: Callable, model: str,
-    size: int = DEFAULT_SIZE, min_chars: int = DEFAULT_MIN_CHARS,
+    source: DataFrame, path: str, checkpoint: str, handlers: list[Handler], run_params: DataFrame, provider_factory: Callable, dim: int,
+    model: str, types: dict[str, str], now: Column,
 ) -> StreamingQuery:
-    """Start the job over a streaming DataFrame (uri, content); it stops once everything present has been taken in."""
+    """Start the job over a streaming DataFrame (uri, arrived, content BINARY); it stops once everything present has been taken in.
 
+    Each micro-batch is one batch of :func:`passagework.operators.ingest.ingest_found`, with metadata, timestamps and config rows.
+    Of several contents of one uri in a micro-batch the one that arrived last counts, the larger hash on ties. A replayed batch
+    replaces its own unfinished attempt and leaves a finished one alone.
+    """
     # Batch numbers restart with every checkpoint, so the checkpoint is part of a batch's name.
     job = hashlib.md5(checkpoint.encode()).hexdigest()
 
     def write(rows: DataFrame, batch_id: int) -> None:
-        ingest_batch(rows, f"{job}-{batch_id}", path, config_hash, provider_factory, model, size, min_chars)
+        last = F.max_by("content", F.struct("arrived", F.sha2("content", 256))).alias("content")
+        once = stage(rows.groupBy("uri").agg(last), "arrived")
+        ingest_found(once, path, f"{job}-{batch_id}", handlers, run_params, provider_factory, dim, model, types, now)
 
     return (
         source.writeStream.foreachBatch(write)

@@ -4,7 +4,10 @@ from pyspark.sql import functions as F
 
 from passagework.operators import conversations as C
 from passagework.operators import embedding, evaluation, prompts
+from passagework.operators.ingest import current_documents, stored_chunks, stored_configs
 from passagework.plans.running import number_blocks, running_sums
+from passagework.registry.store import RUN, RUN_COLUMNS
+from passagework.sources import files, markup
 from passagework.streaming import counter, ingest
 
 
@@ -120,24 +123,37 @@ def test_report_fails_on_a_missing_score_and_is_empty_for_no_samples(spark):
 
 
 def test_stream_ingest_replays_and_changes(spark, tmp_path):
-    src, out = str(tmp_path / "src"), str(tmp_path / "out")
-    schema = "uri string, content string"
+    src, out = tmp_path / "src", str(tmp_path / "out")
+    src.mkdir()
+    handler = files.Handler("PlainHandler", "1", ("TEXT",), markup.text_pages)
+    runs = spark.createDataFrame([RUN], RUN_COLUMNS)
+    now = F.timestamp_seconds(F.lit(1_700_000_000))
 
     def run(checkpoint):
-        stream = spark.readStream.schema(schema).parquet(src)
-        ingest.stream_ingest(stream, out, str(tmp_path / checkpoint), "c", embedding.hashing_provider(8), "m", 10, 2).awaitTermination()
-        return sorted((r.document_id, r.chunk_index, r.content) for r in ingest.stored_chunks(spark, out).collect())
-
-    spark.createDataFrame([("a", "One two. Three four."), ("b", "   ")], schema).write.parquet(src)
+        stream = ingest.arriving_files(spark, str(src), (".txt",))
+        ingest.stream_ingest(
+            stream, out, str(tmp_path / checkpoint), [handler], runs, embedding.hashing_provider(64), 64, "m", {"txt": "TEXT"}, now
+        ).awaitTermination()
+        return sorted((r.document_id, r.chunk_index, r.content) for r in stored_chunks(spark, out).collect())
+
+    def names():
+        return {r.file_name for r in current_documents(spark, out).collect()}
+
+    (src / "a.txt").write_text("One two. Three four.")
+    (src / "b.txt").write_text("   ")
+    (src / "no.bin").write_text("not read")
     first = run("one")
     assert "".join(t for _, _, t in first) == "One two. Three four."
-    assert {r.uri for r in ingest.current_documents(spark, out).collect()} == {"a"}
+    assert names() == {"a.txt"}
+    row = stored_chunks(spark, out).first()
+    assert '"page_number":1' in row.metadata and row.created_at is not None and stored_configs(spark, out).count() == 1
     assert run("one") == first and run("two") == first
-    spark.createDataFrame([("a", "New one. Three four. More."), ("c", "Cc.")], schema).write.mode("append").parquet(src)
-    after = run("two")
+    (src / "a.txt").write_text("New one. " * 40)
+    (src / "c.txt").write_text("Cc.")
+    after = run("three")
     kept = {(d, i): t for d, i, t in after}
     assert all(kept[(d, i)] == t for d, i, t in first) and len(after) > len(first)
-    assert {r.uri for r in ingest.current_documents(spark, out).collect()} == {"a", "c"}
+    assert names() == {"a.txt", "c.txt"} and run("three") == after
 
 
 def test_stream_counter(spark, tmp_path):
