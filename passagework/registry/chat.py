@@ -4,10 +4,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from passagework.functions.text import truncate_text as cut_text
-from passagework.operators import conversations, embedding, prompts, retrieval
+from passagework.operators import conversations, embedding, flows, prompts, retrieval
 from passagework.registry.base import load, query, sql_hashed_topk
 from passagework.registry.search import (
-    COSINE_SQL, DIM, _vector_sql, named_documents, text_hits, text_hits_sql, vector_chunks, vector_queries,
+    COSINE_SQL, DIM, _vector_sql, named_documents, text_chunks, text_hits, text_hits_sql, vector_chunks, vector_queries,
 )
 
 BLOCK_SQL = (
@@ -146,6 +146,28 @@ def last_sources(spark, folder):
     return conversations.last_sources(segments, asked.join(hits, "query_id"))
 
 
+ASKED_SQL = "items AS (SELECT conv_id || ':' || turn AS query_id, text FROM seg WHERE kind = 'question')"
+
+
+@query(
+    "chat_requests",
+    f"""WITH {SEGMENTS_SQL}, {text_hits_sql(5, items=ASKED_SQL)},
+c AS (SELECT query_id, {BLOCK_SQL} AS context FROM found GROUP BY query_id),
+p AS (SELECT *, coalesce(string_agg(role || '=' || text, chr(10)) OVER (PARTITION BY conv_id, segment ORDER BY turn
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) || chr(10), '') AS past FROM seg WHERE kind <> 'sources')
+SELECT conv_id, segment, turn, 'system={prompts.SYSTEM_PROMPT}' || chr(10) || past || 'user=' || CASE WHEN context IS NOT NULL
+ THEN 'Context:' || chr(10) || context || chr(10) || chr(10) || 'Question: ' || text ELSE text END AS messages
+FROM p LEFT JOIN c ON query_id = conv_id || ':' || turn WHERE kind = 'question'""",
+)
+def chat_requests(spark, folder):
+    """Conversations with commands against all documents: real retrieved contexts, history cut at every reset."""
+    requests, _ = flows.chat_requests(
+        commanded_turns(spark, folder), text_chunks(spark, folder), named_documents(spark, folder), embedding.hashing_provider(DIM), "hashing"
+    )
+    line = F.transform("messages", lambda m: F.concat(m["role"], F.lit("="), m["content"]))
+    return requests.select("conv_id", "segment", "turn", F.array_join(line, "\n").alias("messages"))
+
+
 @query(
     "truncate_text",
     "SELECT doc_id, CASE WHEN length(text) > 800 THEN left(text, 800) || '… [+' || (length(text) - 800) || ' chars]' ELSE text END AS shown FROM documents",

@@ -4,10 +4,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from passagework.functions import vectors as V
-from passagework.operators import chunking, embedding, evaluation, prompts, retrieval
+from passagework.operators import chunking, embedding, evaluation, flows, prompts, retrieval
 from passagework.plans.stage import stage
 from passagework.registry.base import load, query, sql_hashed, sql_words
-from passagework.registry.search import COSINE_SQL, DIM, _vector_sql, text_hits, text_hits_sql, vector_chunks, vector_queries
+from passagework.registry.chat import BLOCK_SQL
+from passagework.registry.search import (
+    COSINE_SQL, DIM, _vector_sql, named_documents, text_chunks, text_hits, text_hits_sql, vector_chunks, vector_queries,
+)
+from passagework.session import scratch_path
+from passagework.sources.evalset import load_eval_set
 
 QUESTION = "^[^.!?]*[.!?]?"
 SAMPLES_SQL = f"""smp AS (SELECT item_id AS sample_id, regexp_extract(text, '{QUESTION}') AS user_input, text AS reference FROM benchmark),
@@ -142,3 +147,41 @@ def eval_report(spark, folder):
     )
     names = ("context_recall", "context_precision", "answer_correctness")
     return report.select("sample_id", "user_input", *[F.round(n, 6).alias(n) for n in names])
+
+
+#: Items in one file of the evaluation set.
+PER_FILE = 16
+FILE_SAMPLES_SQL = f"""smp AS (SELECT DISTINCT md5(user_input || '|' || reference) AS sample_id, user_input, reference
+  FROM (SELECT regexp_extract(text, '{QUESTION}') AS user_input, text AS reference FROM benchmark)),
+items AS (SELECT sample_id AS query_id, user_input AS text FROM smp)"""
+FILE_ANSWERS_SQL = f"""res AS (SELECT query_id AS sample_id, rank, content FROM found),
+ctx AS (SELECT query_id AS sample_id, {BLOCK_SQL} AS context FROM found GROUP BY query_id),
+ans AS (SELECT s.*, substring('Context:' || chr(10) || coalesce(context, '') || chr(10) || chr(10) || 'Question: ' || user_input, 10, 300) AS response
+  FROM smp s LEFT JOIN ctx USING (sample_id))"""
+
+
+@query(
+    "eval_from_file",
+    f"""WITH {text_hits_sql(15, items=FILE_SAMPLES_SQL)}, {FILE_ANSWERS_SQL}, {RECALL_SQL}, {PRECISION_SQL}, {CORRECT_SQL},
+a AS (SELECT sample_id, user_input, context_recall, context_precision, answer_correctness FROM smp
+  JOIN recall USING (sample_id) JOIN prec USING (sample_id) JOIN correct USING (sample_id))
+SELECT sample_id, user_input, round(context_recall, 6) AS context_recall, round(context_precision, 6) AS context_precision,
+ round(answer_correctness, 6) AS answer_correctness FROM a
+UNION ALL SELECT NULL, NULL, round(avg(context_recall), 6), round(avg(context_precision), 6), round(avg(answer_correctness), 6) FROM a""",
+)
+def eval_from_file(spark, folder):
+    """The benchmark as JSON files of samples, read back, searched and judged; an answer is the head of its prompt's context."""
+    path = scratch_path(spark, "evaluation-set")
+    rows = samples(spark, folder).withColumn("file", F.floor(F.col("sample_id") / PER_FILE))
+    lists = rows.groupBy("file").agg(F.to_json(F.collect_list(F.struct("user_input", "reference"))).alias("value"))
+    lists.write.partitionBy("file").text(path)
+    loaded = load_eval_set(spark, f"{path}/file=*").distinct()
+    named = stage(loaded.withColumn("sample_id", F.md5(F.concat_ws("|", "user_input", "reference"))), "samples")
+
+    def head(prompted):
+        return prompted.select("sample_id", F.substring("prompt", 10, 300).alias("completion"))
+
+    chunks, documents = text_chunks(spark, folder), named_documents(spark, folder)
+    report = flows.evaluate_samples(named, chunks, documents, embedding.hashing_provider(DIM), "hashing", head)
+    scores = ("context_recall", "context_precision", "answer_correctness")
+    return report.select("sample_id", "user_input", *[F.round(n, 6).alias(n) for n in scores])

@@ -152,9 +152,9 @@ def text_hits(spark, folder, k):
 ITEMS_SQL = "items AS (SELECT item_id AS query_id, text FROM benchmark)"
 
 
-def text_hits_sql(k, dim=DIM):
+def text_hits_sql(k, dim=DIM, items=ITEMS_SQL):
     """CTEs ending in found: query_id, rank, document_id, chunk_index, score, content, file_name, page_number."""
-    return f"""{DOC_PAGES_SQL}, {sql_chunk_tables('pg', '2048')}, {ITEMS_SQL}, {sql_hashed_topk(str(k), dim, 'items')},
+    return f"""{DOC_PAGES_SQL}, {sql_chunk_tables('pg', '2048')}, {items}, {sql_hashed_topk(str(k), dim, 'items')},
 found AS (SELECT h.query_id, h.rank, h.document_id, h.piece_no AS chunk_index, h.score, ch.text AS content,
   d.source || '/' || d.doc_id AS file_name, 1 AS page_number FROM hits h JOIN ch ON h.document_id = ch.document_id AND h.piece_no = ch.piece_no
   JOIN documents d ON d.doc_id = h.document_id)"""
