@@ -1,7 +1,7 @@
 """Top-k retrieval of chunks for whole query tables."""
 from __future__ import annotations
 
-import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from passagework.functions import vectors as V
 from passagework.functions.metadata import page_number_of
 from passagework.plans.checks import first_reason, split_on_reason
 from passagework.plans.nearest import (
@@ -110,48 +111,61 @@ def best_match(queries: DataFrame, corpus: DataFrame, key: str = "chunk_index")
 # -- approximate search -----------------------------------------------------------------------------------------------
 
 
-def hyperplanes(tables: int, planes: int, dim: int) -> np.ndarray:
-    """tables x planes x dim plane normals in [-0.5, 0.5), derived from md5 so that every run has the same ones."""
+def pivots(chunks: DataFrame, lists: int, keys: list[str] = CHUNK_KEYS) -> np.ndarray:
+    """At most ``lists`` unit vectors: those of the chunks whose keys have the smallest md5, copies once, without zero vectors."""
+    place = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]))
+    usable = chunks.filter(V.inner_product(F.col("embedding"), F.col("embedding")) > 0)
+    rows = usable.select(place.alias("place"), *keys, "embedding").orderBy("place", *keys).limit(lists)
+    vectors = [np.asarray(r["embedding"], np.float64) for r in rows.select("embedding").toLocalIterator()]
+    if not vectors:
+        return np.empty((0, 0))
+    units = np.stack([v / np.sqrt((v**2).sum()) for v in vectors])
+    return units[np.sort(np.unique(units, axis=0, return_index=True)[1])]
 
-    def value(t: int, p: int, d: int) -> float:
-        return int(hashlib.md5(f"{t}|{p}|{d}".encode()).hexdigest()[:8], 16) / 2**32 - 0.5
 
-    return np.array([[[value(t, p, d) for d in range(dim)] for p in range(planes)] for t in range(tables)])
-
-
-def _buckets(rows: DataFrame, tables: int, planes: int, dim: int) -> DataFrame:
-    """``rows`` once per table with their bucket there; they are hashed once and written, as several joins read them."""
-    normals = hyperplanes(tables, planes, dim).reshape(tables * planes, dim).T
-    weights = 2 ** np.arange(planes)
+def _lists(rows: DataFrame, centres: np.ndarray, probes: int, carry: list[str]) -> DataFrame:
+    """``carry`` and ``list_no`` of the ``probes`` nearest pivots of every row, written once; ties go to the smaller number."""
+    shared = rows.sparkSession.sparkContext.broadcast(centres)
 
     @F.pandas_udf("array<int>")
-    def sides(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def nearest_lists(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for vectors in batches:
-            above = (np.stack(vectors.to_numpy()).astype(np.float64) @ normals) > 0
-            codes = above.reshape(len(vectors), tables, planes) @ weights
-            yield pd.Series(list(codes.astype(np.int32)))
+            found = []
+            if not len(shared.value):
+                yield pd.Series([[0]] * len(vectors), dtype=object)
+                continue
+            for low in range(0, len(vectors), 1024):
+                products = np.stack(vectors.iloc[low : low + 1024].to_numpy()).astype(np.float64) @ shared.value.T
+                found.extend(np.argsort(-np.round(products, 9), axis=1, kind="stable")[:, :probes].astype(np.int32))
+            yield pd.Series(found, dtype=object)
 
-    hashed = stage(rows.withColumn("__codes", sides(F.col("embedding"))), "hashed")
-    return hashed.select(*rows.columns, F.posexplode("__codes").alias("table_no", "bucket_no"))
+    held = rows.select(*carry, nearest_lists("embedding").alias("__lists"))
+    return stage(held, "lists").select(*carry, F.explode("__lists").alias("list_no"))
 
 
 def approx_search(
     queries: DataFrame,
     chunks: DataFrame,
-    dim: int,
     k: int = CHAT_TOP_K,
-    tables: int = 8,
-    planes: int = 4,
+    lists: int | None = None,
+    probes: int | None = None,
     keys: list[str] = CHUNK_KEYS,
 ) -> DataFrame:
-    """Nearest chunks among those sharing a random-hyperplane bucket with the query in some table (not exact).
-
-    Within its candidates the ranking is exact. More planes mean fewer candidates and lower recall; measure with
-    :func:`recall_against`. Buckets of any size are cut into bounded cells.
+    """Nearest chunks among those in the ``probes`` lists whose pivots are nearest to the query (not exact).
+
+    Every chunk is in one list, that of its nearest pivot, so it is shuffled once. ``lists`` is by default eight times the root
+    of the number of chunks, so lists stay about as long as an eighth of that root; ``probes`` is by default 15 % of the lists.
+    Fixed ``probes`` make the work per query grow with the root only, at the price of recall; measure with
+    :func:`recall_against`. Within its candidates the ranking is exact; lists of any size are cut into bounded cells. Zero
+    vectors fall into the first list. No chunks give no rows. Only the pivots reach the driver and the workers: 250,000 of
+    them for a billion chunks.
     """
-    q = _buckets(_with_limit(queries, k).select("query_id", "top_k", "embedding"), tables, planes, dim)
-    c = _buckets(chunks.select(*keys, "embedding"), tables, planes, dim)
-    return bucketed_nearest(q, c, ["table_no", "bucket_no"], keys)
+    lists = lists or 8 * math.isqrt(max(chunks.count() - 1, 0)) + 8
+    centres = pivots(chunks, lists, keys)
+    probes = probes or max(1, len(centres) * 15 // 100)
+    q = _lists(_with_limit(queries, k), centres, probes, ["query_id", "top_k", "embedding"])
+    c = _lists(chunks, centres, 1, [*keys, "embedding"])
+    return bucketed_nearest(q, c, ["list_no"], keys)
 
 
 def recall_against(exact: DataFrame, found: DataFrame, keys: list[str] = CHUNK_KEYS) -> DataFrame:

@@ -213,17 +213,17 @@ def metadata_page_number(spark, folder):
 @query(
     "source_accumulation",
     f"""WITH {OWNED_HITS_SQL}
-SELECT q_label AS request_id, count(*) AS sources, string_agg(source || '/' || doc_id, ' ' ORDER BY query_id, rank) AS names
-FROM hits JOIN documents ON document_id = doc_id GROUP BY q_label""",
+SELECT query_id // 8 AS request_id, count(*) AS sources, string_agg(source || '/' || doc_id, ' ' ORDER BY query_id, rank) AS names
+FROM hits JOIN documents ON document_id = doc_id GROUP BY query_id // 8""",
 )
 def source_accumulation(spark, folder):
-    """All searches with the same label belong to one request; the query number is the order of its calls."""
+    """Eight neighbouring searches belong to one request; the query number is the order of its calls."""
     queries = vector_queries(spark, folder)
     texts = load(spark, folder, "documents").select(
         F.col("doc_id").alias("document_id"), F.col("text").alias("content"), F.lit("{}").alias("metadata")
     )
     hits = retrieval.search(queries, vector_chunks(spark, folder).join(texts, "document_id"), named_documents(spark, folder), 5)
-    calls = hits.join(queries.select("query_id", F.col("label").alias("request_id")), "query_id").withColumnRenamed("query_id", "call_no")
+    calls = hits.withColumn("request_id", F.floor(F.col("query_id") / 8)).withColumnRenamed("query_id", "call_no")
     sources = retrieval.accumulate_sources(calls)
     return sources.select(
         "request_id", F.size("sources").cast("bigint").alias("sources"),
@@ -233,30 +233,33 @@ def source_accumulation(spark, folder):
 
 # -- approximate search ------------------------------------------------------------------------------------------------
 
-TABLES, PLANES = 8, 4
-LSH_SQL = f"""e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+LISTS_SQL = """e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
 n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM e),
-planes AS (SELECT t, p, list_transform(range(64), lambda d: CAST('0x' || substr(md5(t || '|' || p || '|' || d), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE - 0.5) AS w
-  FROM range({TABLES}) a(t), range({PLANES}) b(p)),
-codes AS (SELECT vec_id, t, sum(CASE WHEN list_dot_product(v, w) > 0 THEN 1 << p ELSE 0 END) AS code FROM e, planes GROUP BY vec_id, t),
-cand AS (SELECT DISTINCT q.vec_id AS query_id, c.vec_id AS document_id FROM codes q JOIN codes c ON q.t = c.t AND q.code = c.code),
+most AS (SELECT 8 * CAST(floor(sqrt(count(*) - 1)) AS BIGINT) + 8 AS lists FROM e),
+drawn AS (SELECT row_number() OVER (ORDER BY md5(vec_id || '|0'), vec_id) - 1 AS list_no, list_transform(v, lambda x: x / norm) AS w
+  FROM n WHERE norm > 0 QUALIFY list_no < (SELECT lists FROM most)),
+pivot_rows AS (SELECT min(list_no) AS list_no, w FROM drawn GROUP BY w),
+nearest_lists AS (SELECT vec_id, list_no, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_dot_product(v, w), 9) DESC, list_no) AS place
+  FROM e, pivot_rows),
+cand AS (SELECT q.vec_id AS query_id, c.vec_id AS document_id FROM nearest_lists q JOIN nearest_lists c ON q.list_no = c.list_no
+  WHERE c.place = 1 AND q.place <= greatest(1, (SELECT count(*) * 15 // 100 FROM pivot_rows))),
 near AS (SELECT query_id, document_id, round(list_dot_product(q.v, c.v) / (q.norm * c.norm), 9) AS score
   FROM cand JOIN n q ON q.vec_id = query_id JOIN n c ON c.vec_id = document_id),
 found AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS INTEGER) AS rank FROM near QUALIFY rank <= 5)"""
 
 
 def _approximate(spark, folder):
-    return retrieval.approx_search(vector_queries(spark, folder), vector_chunks(spark, folder), 64, 5, TABLES, PLANES)
+    return retrieval.approx_search(vector_queries(spark, folder), vector_chunks(spark, folder), 5)
 
 
-@query("lsh_topk", f"WITH {LSH_SQL} SELECT query_id, rank, document_id, round(score, 6) AS score FROM found")
+@query("lsh_topk", f"WITH {LISTS_SQL} SELECT query_id, rank, document_id, round(score, 6) AS score FROM found")
 def lsh_topk(spark, folder):
     return _approximate(spark, folder).select("query_id", "rank", "document_id", F.round("score", 6).alias("score"))
 
 
 @query(
     "lsh_recall",
-    f"""WITH {LSH_SQL}, x AS (WITH {COSINE_HITS_SQL} SELECT query_id, document_id FROM hits)
+    f"""WITH {LISTS_SQL}, x AS (WITH {COSINE_HITS_SQL} SELECT query_id, document_id FROM hits)
 SELECT x.query_id, round(count(f.document_id) / 5.0::DOUBLE, 6) AS recall FROM x LEFT JOIN found f
  ON x.query_id = f.query_id AND x.document_id = f.document_id GROUP BY x.query_id""",
 )

@@ -90,12 +90,18 @@ def test_approximate_results_are_exact_within_candidates(spark):
     c[::3] = c[0]
     qs, cs = frame(spark, "q", q), frame(spark, "c", c)
     exact = retrieval.search(qs, cs, k=5)
-    all_in_one = retrieval.approx_search(qs, cs, 8, 5, tables=2, planes=0)
-    assert ids(all_in_one) == brute(q, c, 5, "cosine")
-    recall = retrieval.recall_against(exact, retrieval.approx_search(qs, cs, 8, 5, tables=6, planes=2)).agg(F.avg("recall")).first()[0]
+    assert ids(retrieval.approx_search(qs, cs, 5, lists=1)) == brute(q, c, 5, "cosine")
+    assert ids(retrieval.approx_search(qs, cs, 5, lists=40, probes=40)) == brute(q, c, 5, "cosine")
+    recall = retrieval.recall_against(exact, retrieval.approx_search(qs, cs, 5)).agg(F.avg("recall")).first()[0]
     assert 0.5 < recall <= 1
 
 
+def test_approximate_search_without_usable_chunks(spark):
+    qs, cs = frame(spark, "q", np.ones((2, 3))), frame(spark, "c", np.zeros((4, 3)))
+    assert retrieval.approx_search(qs, cs.limit(0), 2).count() == 0
+    assert [r.score for r in retrieval.approx_search(qs, cs, 2).collect()] == [None] * 4
+
+
 def test_sparse_equals_dense(spark):
     texts = [" ".join(rng.choice(["ab", "cd", "ef", "gh", "ij", "Kl"], size=rng.integers(0, 9))) for _ in range(120)]
     rows = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "document_id int, chunk_index int, text string")
