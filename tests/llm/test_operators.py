@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from passagework.llm import components, decontamination, extraction, hosts, language, licenses, mixing, pq, sharding, simhash, toxicity
+from passagework.llm import components, copies, decontamination, extraction, hosts, language, licenses, mixing, pq, sharding, simhash, toxicity
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -109,6 +109,43 @@ def test_simhash_without_ids_and_rows(spark):
     assert simhash.simhash_groups(frame.limit(0)).count() == 0
 
 
+def test_near_copies_with_edited_words(spark):
+    rng = random.Random(8)
+    rows, edited = [], {}
+    for i in range(60):
+        words = [f"v{rng.randrange(5000)}" for _ in range(rng.choice([60, 150, 400]))]
+        rows.append(" ".join(words))
+        changed = list(words)
+        for at in rng.sample(range(len(words)), max(1, len(words) // 60)):
+            changed[at] = "edited"
+        edited[len(rows)] = len(rows) - 1
+        rows.append(" ".join(changed))
+    rows += [rows[0]] * 20 + ["", None, " \t", "a b", "A  b", "a c"]
+    base = [f"b{i}" for i in range(80)]
+    rows += [" ".join(base[:i] + [f"n{i}"] + base[i + 1:]) for i in range(60)]
+    frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(rows)], DOCS)
+    grams = []
+    for t in rows:
+        words = GAP.findall(fold(t))
+        grams.append({tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    alike = lambda a, b: not (a or b) or 5 * len(a & b) >= 4 * len(a | b)
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if alike(grams[a], grams[b])]
+    assert sum(p in pairs for p in ((b, a) for a, b in edited.items())) > 40
+    want = union(pairs, range(len(rows)))
+    for block in (copies.BLOCK, 4):
+        assert {r.doc_id: r.component_id for r in copies.copy_groups(frame, block=block).collect()} == want
+    import corpus_pipeline
+
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, frame, "").collect()) == sorted(set(want.values()))
+
+
+def test_near_copies_without_ids_and_rows(spark):
+    rows = [(None, "same text here", "en", "s", 1), (None, "same text here", "en", "s", 1), (4, "other words", "en", "s", 1), (4, "other words", "en", "s", 1), (None, "Other words", "en", "s", 1)]
+    frame = spark.createDataFrame(rows, DOCS)
+    assert sorted((r.doc_id or 0, r.text) for r in copies.keep_one(frame).collect()) == [(0, "same text here"), (4, "other words")]
+    assert copies.keep_one(frame.limit(0)).count() == 0
+
+
 def brute_contamination(text, items, width=10):
     windows = collections.defaultdict(set)
     for item, body in items:
