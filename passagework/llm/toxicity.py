@@ -22,9 +22,9 @@ from passagework.plans.stage import stage
 #: Most words the classifier weighs; most rows of either kind it is fitted on (a seeded sample).
 WEIGHED, FIT_ROWS = 4096, 20_000
 THRESHOLD = 0.3
-#: A word is weighed if this share of the positives holds it, it is so many times as frequent there as in unlabelled texts, and
-#: the likelihood ratio of the two counts (G squared) is at least this.
-LEAST_SHARE, LEAST_RATIO, LEAST_G = 0.08, 2.0, 20.0
+#: A word is weighed if so many positives hold it, it is so many times as frequent there as in unlabelled texts, and the
+#: likelihood ratio of the two counts (G squared) is at least this; none of it depends on how many toxic words there are.
+LEAST_COUNT, LEAST_RATIO, LEAST_G = 3, 2.0, 20.0
 
 
 def word_code(word: bytes) -> int:
@@ -109,14 +109,15 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, fit_ro
     sides = {r[0]: r[1] for r in fitted.groupBy("positive").count().collect()}
     if not sides.get(True):
         return nothing(prior)
+    n_p, n_u = sides[True], sides.get(False, 0)
     holds = fitted.select("positive", F.explode("codes").alias("code")).groupBy("code").agg(
         F.count(F.when(F.col("positive"), 1)).alias("p"), F.count(F.when(~F.col("positive"), 1)).alias("u")
-    ).where(F.col("p") >= max(3, LEAST_SHARE * sides[True])).toPandas()
-    n_p, n_u = sides[True], sides.get(False, 0)
-    p, u = holds["p"].astype(float), holds["u"].astype(float)
-    share_p, share_u = p / n_p, u / max(n_u, 1)
-    g = 2 * (p * np.log((p / n_p) / ((p + u) / (n_p + n_u))) + u * np.log(np.maximum(share_u, 1e-300) / ((p + u) / (n_p + n_u))))
-    holds = holds[(share_p >= LEAST_RATIO * share_u) & (g >= LEAST_G)].assign(g=g).sort_values(["g", "code"], ascending=[False, True]).head(weighed)
+    ).where(F.col("p") >= LEAST_COUNT)
+    both = (F.col("p") + F.col("u")) / F.lit(n_p + n_u)
+    of_u = F.when(F.col("u") > 0, F.col("u") * F.log(F.col("share_u") / both)).otherwise(0.0)
+    holds = holds.withColumns({"share_p": F.col("p") / F.lit(n_p), "share_u": F.col("u") / F.lit(max(n_u, 1))})
+    holds = holds.withColumn("g", 2 * (F.col("p") * F.log(F.col("share_p") / both) + of_u))
+    holds = holds.where((F.col("share_p") >= LEAST_RATIO * F.col("share_u")) & (F.col("g") >= LEAST_G)).orderBy(F.desc("g"), "code").limit(weighed).toPandas()
     if not len(holds):
         return nothing(prior)
     picked = np.sort(holds["code"].to_numpy())
@@ -124,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, fit_ro
     data = fitted.select("positive", kept.alias("codes")).toPandas()
     lengths = [len(x) for x in data["codes"]]
     positive = data["positive"].to_numpy(bool)
-    strong = np.sort(holds["code"][share_p[holds.index] >= 4 * share_u[holds.index]].to_numpy())
+    strong = np.sort(holds["code"][holds["share_p"] >= 4 * holds["share_u"]].to_numpy())
     marked = np.array([len(np.intersect1d(x, strong, assume_unique=True)) > 0 for x in data["codes"]])
     if marked[positive].mean() > 0.05 and (~positive).any():
         prior = min(prior, max(0.02, marked[~positive].mean() / marked[positive].mean()))

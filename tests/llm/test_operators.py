@@ -344,6 +344,21 @@ def test_toxicity(spark):
     assert toxicity.toxicity(frame.limit(0), marks).count() == 0
 
 
+def test_toxicity_with_many_rare_words(spark):
+    rng = random.Random(17)
+    words, bad = [f"word{i}" for i in range(2000)], [f"bad{i}" for i in range(60)]
+    rows = []
+    for i in range(6000):
+        body = [rng.choice(words) for _ in range(40)] + (rng.sample(bad, 2) if i % 8 == 0 else [])
+        rng.shuffle(body)
+        rows.append((i, " ".join(body), "en", "s", 0))
+    frame = spark.createDataFrame(rows, DOCS)
+    marks = spark.createDataFrame([(i, 1, int(i % 8 == 0)) for i in range(0, 6000, 2)], "doc_id bigint, quality int, toxic int")
+    got = toxicity.toxicity(frame, marks).collect()
+    wrong = collections.Counter((r.doc_id % 8 == 0, r.held_out) for r in got if r.predicted != (r.doc_id % 8 == 0))
+    assert wrong[True, True] + wrong[True, False] <= 37 and wrong[False, True] + wrong[False, False] <= 7, wrong  # each word is in about 9 positives
+
+
 PAGES = [
     ("<html><body><nav><a href='/x'>Menu</a></nav><article><h1>Head &amp; tail</h1><p>Some  text\n here, long enough to count as content."
      "<p>It.<br>Is</p><div class='comments'><p>me too</p></div><aside>side</aside></article><footer>foot</footer></body></html>",
