@@ -3,8 +3,9 @@
 The standard library's parser feeds a page's events to a small collector that closes a line at every block element. Each line
 keeps its text, its number of tags and the container it stands in; what belongs to menus, headers, footers, sidebars, notices,
 adverts, forms and reader comments is marked as such by element, role, class or id. The ratio of text to tags, smoothed by a
-Gaussian over neighbouring lines, is split into two clusters by a threshold; containers (an article or main element, else the
-innermost section) whose text lies mostly in the upper cluster are the content regions, and all their unmarked lines are the text.
+Gaussian over neighbouring lines, is split into two clusters by a threshold of at most half the usual ratio. Every article or main
+element is a content region; where none is named, the innermost sections whose text lies mostly in the upper cluster are. All
+unmarked lines of the regions are the text.
 """
 from __future__ import annotations
 
@@ -139,24 +140,39 @@ def threshold(values: np.ndarray) -> float:
     return border
 
 
-def main_text(html: str | None) -> str:
-    """Blocks of the content regions, white space inside each turned into one space, joined by newlines; null gives ''."""
-    lines, named = page_lines(html)
-    if not lines:
-        return ""
+def usual(ratios: np.ndarray, sizes: np.ndarray) -> float:
+    """Median ratio by text size, where no line weighs more than a tenth of all, so one long block does not decide."""
+    weights = sizes.copy()
+    for _ in range(50):
+        weights = np.minimum(weights, max(weights.sum() / 10, weights.min()))
+    order = np.argsort(ratios, kind="stable")
+    return float(ratios[order][np.searchsorted(np.cumsum(weights[order]), weights.sum() / 2)])
+
+
+def _dense(lines: list[list]) -> set[int]:
+    """Containers whose unmarked text lies mostly in the upper cluster; all of them if none does."""
     sizes = np.array([float(len(text)) for text, _, _, _ in lines])
     marked = np.array([m for _, _, _, m in lines])
-    ratios = smooth(np.where(marked, 0.0, sizes / np.maximum(1, [tags for _, tags, _, _ in lines])))
-    upper = (ratios >= threshold(ratios)) & ~marked
+    if marked.all():
+        return set()
+    raw = np.where(marked, 0.0, sizes / np.maximum(1, [tags for _, tags, _, _ in lines]))
+    ratios = smooth(raw)
+    upper = (ratios >= min(threshold(ratios), usual(raw[~marked], sizes[~marked]) / 2)) & ~marked
     inside: dict[int, list[float]] = {}
     for size, is_upper, is_marked, (_, _, container, _) in zip(sizes, upper, marked, lines):
         if not is_marked:
             sums = inside.setdefault(container, [0.0, 0.0])
             sums[0] += size
             sums[1] += size * is_upper
-    regions = {c for c in inside if c in named and inside[c][1] > 0}
-    if not regions:
-        regions = {c for c, (total, chosen) in inside.items() if 2 * chosen >= total} or set(inside)
+    return {c for c, (total, chosen) in inside.items() if 2 * chosen >= total} or set(inside)
+
+
+def main_text(html: str | None) -> str:
+    """Blocks of the content regions, white space inside each turned into one space, joined by newlines; null gives ''."""
+    lines, named = page_lines(html)
+    if not lines:
+        return ""
+    regions = {container for _, _, container, is_marked in lines if container in named and not is_marked} or _dense(lines)
     return "\n".join(text for text, _, container, is_marked in lines if container in regions and not is_marked)
 
 

@@ -378,6 +378,16 @@ def test_extraction(spark):
     assert all(got[i].n_chars == len(t) for i, (_, t) in enumerate(PAGES))
 
 
+def test_extraction_with_one_very_long_block():
+    block = "long " * 1000
+    paragraphs = [f"{i:02d} " + "word " * 19 + "." for i in range(20)]
+    page = "<nav><a href='/'>Menu</a></nav><article>" + "".join(f"<p>{p}</p>" for p in paragraphs) + "</article><footer>" + "<p>x</p>" * 5 + f"</footer><div>{block}</div>"
+    assert extraction.main_text(page) == "\n".join(paragraphs)
+    for at in (0, 10, 20):
+        blocks = paragraphs[:at] + [("long " * 4000).strip()] + paragraphs[at:]
+        assert extraction.main_text("".join(f"<section><p>{b}</p></section>" for b in blocks)) == "\n".join(blocks)
+
+
 def test_extraction_without_an_article():
     links = "".join(f"<li><a href='/{i}'>link {i}</a></li>" for i in range(12))
     body = "".join(f"<p>Paragraph {i} has a good many words so that text outweighs tags.</p>" for i in range(6))
