@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm import decontamination, extraction, hosts, language, licenses, mixing, pq, sharding, simhash, sql, toxicity
+from passagework.llm import decontamination, dialogue, divergence, extraction, hosts, language, licenses, mixing, packing, pq, sharding, simhash, sql, toxicity
 from passagework.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,21 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     path = F.concat_ws("/", F.col("source"), F.col("lang"), F.col("doc_id").cast("string"))
     return licenses.license_scan(load(spark, folder, "documents"), path)
+
+
+@query("op11_packing")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = packing.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.packed(load(spark, folder, "documents").select("doc_id", "text"), vocabulary)
+
+
+@query("op12_dialogue_repair")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return dialogue.repaired(dialogue.damaged(load(spark, folder, "conversations")))
+
+
+@query("op13_source_divergence", sql.OP13)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.divergence(load(spark, folder, "documents"))

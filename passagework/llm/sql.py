@@ -78,3 +78,37 @@ named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM texts LEFT JOIN n_inside USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+OP13 = r"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words, row_number() OVER () AS nth
+  FROM documents
+), w AS (SELECT lang, source, nth, unnest(words) AS term FROM d
+), kept AS (SELECT lang, term, count(*) AS everywhere FROM w GROUP BY 1, 2 HAVING count(DISTINCT nth) >= 3
+), langs AS (SELECT lang, count(*) AS v, sum(everywhere) AS total FROM kept GROUP BY 1
+), groups AS (SELECT DISTINCT lang, source FROM d
+), counts AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY 1, 2, 3
+), sizes AS (SELECT lang, source, sum(n) AS total FROM counts GROUP BY 1, 2
+), grid AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (coalesce(s.total, 0) + l.v)::HUGEINT AS p,
+    1 + (1000000000::HUGEINT * (k.everywhere + 1)) // (l.total + l.v)::HUGEINT AS q
+  FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang)
+  LEFT JOIN sizes s USING (lang, source) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), pair AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM grid a JOIN grid b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3
+), every_pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pair p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+), every_term AS (
+  SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // q AS value FROM grid WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS place
+  FROM (FROM every_pair UNION ALL FROM every_term)
+)
+SELECT lang, source, part, item, value::BIGINT AS value, place::INTEGER AS rank FROM ranked WHERE part = 'pair' OR place <= 200
+"""
