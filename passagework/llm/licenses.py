@@ -43,7 +43,6 @@ COSINE, FILE_SHARE = 0.8, 0.5
 BUCKETS = 1 << 17
 #: Names of licence files, as lower-case stems.
 FILE_NAMES = ("license", "licence", "copying", "unlicense")
-_LINE_BYTES = 1 << 16
 
 
 def bucket(word: bytes) -> int:
@@ -123,7 +122,7 @@ class Matcher:
         for line in text.splitlines():
             words = terms(line)
             total += len(words)
-            score, name = self.best(words) if len(line) <= _LINE_BYTES else (0.0, None)
+            score, name = self.best(words)
             if name is None and len(words) > 8:
                 for part in line.replace(b"? ", b". ").replace(b"! ", b". ").split(b". "):
                     own = terms(part)

@@ -125,24 +125,29 @@ def simhash_groups(docs: DataFrame, radius: int = RADIUS, id_column: str = "doc_
     copies never meet each other. Rows without an id take part; a component of such rows only has a null ``component_id``.
     Repeated rows are returned as often as they come. Texts are read once; what is staged is one id and one number a row.
     """
+    return _grouped(docs, radius, id_column, text).select("doc_id", "fingerprint", "component_id")
+
+
+def _grouped(docs: DataFrame, radius: int, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """The groups with their ``component``, the fingerprint that names it."""
     coded = stage(with_fingerprint(docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"))).drop("text"), "fingerprints")
     codes = stage(coded.groupBy(F.col("fingerprint").alias("code")).agg(F.min("doc_id").alias("first_id")), "codes")
     joined = stage(connected_components(near_fingerprints(codes, radius)), "groups")
     grouped = codes.join(joined, codes.code == joined.node, "left").select("code", "first_id", F.coalesce("component", "code").alias("component"))
     smallest = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = grouped.join(smallest, "component").select(F.col("code").alias("fingerprint"), "component_id")
-    return coded.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    named = grouped.join(smallest, "component").select(F.col("code").alias("fingerprint"), "component", "component_id")
+    return coded.join(named, "fingerprint").select("doc_id", "fingerprint", "component", "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest ``doc_id``.
+    """``docs`` with one row of each group: the smallest ``doc_id``, then the smallest fingerprint.
 
-    Of rows that repeat this id one stays. Rows without an id stay only where no row of their group has one, and then one
-    of them for each distinct row.
+    A group is made of fingerprints, not of ids: rows of one id in several groups all stay. Of rows that repeat id and
+    fingerprint one stays. A null id comes after all others.
     """
-    groups = simhash_groups(docs, radius)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    lone = groups.where("component_id IS NULL").select("fingerprint").distinct()
-    nameless = with_fingerprint(docs.where("doc_id IS NULL"), name="simhash code").join(lone, F.col("simhash code") == lone.fingerprint, "left_semi")
-    return named.unionByName(nameless.drop("simhash code").select(*docs.columns).distinct())
+    groups = stage(_grouped(docs, radius), "copies")
+    first = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "fingerprint")).alias("first"))
+    kept = first.select(F.col("first.doc_id").alias("kept id"), F.col("first.fingerprint").alias("kept code"))
+    coded = with_fingerprint(docs, name="simhash code")
+    found = coded.join(kept, (F.col("simhash code") == F.col("kept code")) & F.col("doc_id").eqNullSafe(F.col("kept id")), "left_semi")
+    return found.dropDuplicates(["doc_id", "simhash code"]).select(*docs.columns)

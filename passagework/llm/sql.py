@@ -11,10 +11,10 @@ _LINK = r"""(?i)\bhref\s*=\s*["'']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^\s"''<>]+)"""
 
 
 def _spread(name: str, start: str, end: str, total: str) -> str:
-    """Mass of ``name`` after twelve rounds along the links from ``start`` to ``end``."""
+    """Mass of ``name`` along the links from ``start`` to ``end``, by shares of the linker, until 0.85 ** 61 of it is on its way."""
     return f"""{name}_sent AS (SELECT 0 AS turn, host, {name} AS mass FROM seeds WHERE {name} > 0
  UNION ALL SELECT turn + 1, l.{end}, 0.85::DOUBLE * sum(l.n / t.n * s.mass) FROM {name}_sent s JOIN links l ON l.{start} = s.host
-  JOIN (SELECT {start} AS host, sum(n) AS n FROM links GROUP BY {start}) t ON t.host = s.host WHERE turn < 12 GROUP BY turn + 1, l.{end}),
+  JOIN (SELECT src, sum(n) AS n FROM links GROUP BY src) t ON t.src = l.src WHERE turn < 61 GROUP BY turn + 1, l.{end}),
 {total} AS (SELECT host, sum(mass) AS {name} FROM {name}_sent GROUP BY host)"""
 
 

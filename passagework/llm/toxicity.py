@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from passagework.llm.words import terms
 from passagework.plans.stage import stage
 
-#: Most words the classifier weighs; most rows of either kind it is fitted on (a seeded sample).
-WEIGHED, FIT_ROWS = 4096, 20_000
+#: Most rows of either kind the classifier is fitted on (a seeded sample).
+FIT_ROWS = 20_000
 THRESHOLD = 0.3
 #: A word is weighed if so many positives hold it, it is so many times as frequent there as in unlabelled texts, and the
 #: likelihood ratio of the two counts (G squared) is at least this; none of it depends on how many toxic words there are.
@@ -79,11 +79,11 @@ def fit_nnpu(rows: np.ndarray, cols: np.ndarray, positive: np.ndarray, features:
     return w[:-1], float(w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, fit_rows: int = FIT_ROWS, weighed: int = WEIGHED) -> Model:
+def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, fit_rows: int = FIT_ROWS) -> Model:
     """Fit on the rows that are not held out; ``labels`` has doc_id and toxic.
 
     Positives are texts labelled toxic; the unlabelled side is a sample of all training texts, whose labels are not looked
-    at. Either side is the first ``fit_rows`` in a seeded hash order of the id. ``prior`` is the share of toxic texts; by
+    at. Either side is the first ``fit_rows`` in a seeded hash order of the id, which also bounds the words that can be weighed. ``prior`` is the share of toxic texts; by
     default that of the training labels, but no more than the unlabelled texts allow: for any set of texts the prior is at
     most its share among them over its share among the positives, here taken of the texts with a word that is four times as
     frequent among the positives. A label without a text, or null, is not used; an id labelled twice counts as toxic if one
@@ -117,7 +117,7 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, fit_ro
     of_u = F.when(F.col("u") > 0, F.col("u") * F.log(F.col("share_u") / both)).otherwise(0.0)
     holds = holds.withColumns({"share_p": F.col("p") / F.lit(n_p), "share_u": F.col("u") / F.lit(max(n_u, 1))})
     holds = holds.withColumn("g", 2 * (F.col("p") * F.log(F.col("share_p") / both) + of_u))
-    holds = holds.where((F.col("share_p") >= LEAST_RATIO * F.col("share_u")) & (F.col("g") >= LEAST_G)).orderBy(F.desc("g"), "code").limit(weighed).toPandas()
+    holds = holds.where((F.col("share_p") >= LEAST_RATIO * F.col("share_u")) & (F.col("g") >= LEAST_G)).toPandas()
     if not len(holds):
         return nothing(prior)
     picked = np.sort(holds["code"].to_numpy())

@@ -415,6 +415,16 @@ def test_hosts(spark):
     assert hosts.url_verdicts(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("keep_one", [copies.keep_one, simhash.keep_one])
+def test_one_row_of_a_group_stays_and_other_texts_of_its_id(spark, keep_one):
+    a, b = "alpha beta gamma delta epsilon zeta eta", "one two three four five six seven eight"
+    rows = [(1, a), (1, b), (2, b), (2, b), (None, a), (None, "nothing like the others is written here"), (3, None), (4, ""), (1, a)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("node", F.lit("x")).withColumn("component", F.lit(5))
+    kept = keep_one(frame)
+    assert kept.columns == frame.columns
+    assert sorted(((r.doc_id or 0, r.text or "") for r in kept.collect())) == [(0, rows[5][1]), (1, a), (1, b), (3, "")]
+
+
 def test_host_scores_against_matrix(spark):
     rng = np.random.default_rng(8)
     n = 25
@@ -422,14 +432,23 @@ def test_host_scores_against_matrix(spark):
     np.fill_diagonal(links, False)
     shares = links / np.maximum(links.sum(1, keepdims=True), 1)
     seed = np.where(np.arange(n) < 3, 1.0, 0.0)
-    want, sent = seed.copy(), seed.copy()
-    for _ in range(12):
-        sent = 0.85 * sent @ shares
-        want = want + sent
+    want = np.linalg.solve(np.eye(n) - 0.85 * shares.T, seed)
     edges = spark.createDataFrame([(f"h{a}", f"h{b}", float(shares[a, b])) for a, b in zip(*np.nonzero(links))], "src string, dst string, share double")
     seeds = spark.createDataFrame([(f"h{i}", float(s)) for i, s in enumerate(seed)], "host string, seed double")
-    got = {r.host: r.score for r in hosts.spread(seeds, edges, 0.85, 12).collect()}
-    assert [got.get(f"h{i}", 0.0) for i in range(n)] == pytest.approx(want.tolist())
+    got = {r.host: r.score for r in hosts.spread(seeds, edges, 0.85).collect()}
+    assert [got.get(f"h{i}", 0.0) for i in range(n)] == pytest.approx(want.tolist(), abs=1e-3)
+
+
+def test_a_cycle_reaches_the_fixed_point_and_a_farm_does_not_dilute(spark):
+    cycle = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0)], "src string, dst string, share double")
+    got = {r.host: r.score for r in hosts.spread(spark.createDataFrame([("a", 1.0)], "host string, seed double"), cycle, 0.85).collect()}
+    assert got["a"] == pytest.approx(1 / (1 - 0.85**2), abs=1e-3) and got["b"] == pytest.approx(0.85 / (1 - 0.85**2), abs=1e-3)
+    for farm in (1, 2, 30):
+        rows = [(0, "http://bad.net/", "")] + [(i + 1, f"http://farm{i}.info/", "<a href='http://bad.net/x'>") for i in range(farm)]
+        rows += [(99, "http://half.info/", "<a href='http://bad.net/x'> <a href='http://fine.info/'>"), (100, "http://fine.info/", None)]
+        pages = spark.createDataFrame(rows + rows[-1:], "page_id bigint, url string, html string")
+        verdicts = {r.host: r.verdict for r in hosts.url_verdicts(pages).collect()}
+        assert [verdicts[h] for h in ("bad.net", "farm0.info", f"farm{farm - 1}.info", "half.info", "fine.info")] == ["block"] * 3 + ["allow"] * 2
 
 
 def test_licenses(spark):

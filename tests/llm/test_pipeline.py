@@ -2,6 +2,7 @@
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 from oracle import compare
 
@@ -10,7 +11,11 @@ from passagework.llm.queries import ORACLE, QUERIES
 FOLDER, MORE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+#: Queries whose rows are not those of a table.
+OTHER = ("op11_packing", "op12_dialogue_repair", "op13_source_divergence")
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(OTHER)))
 def test_query_returns_a_row_for_each_row(spark, name):
     table = {"op1": "pages", "op9": "pages", "op2": "embeddings"}.get(name.split("_")[0], "documents")
     assert QUERIES[name](spark, FOLDER).count() == spark.read.parquet(f"{FOLDER}/{table}.parquet").count()
@@ -37,6 +42,40 @@ def test_pipeline_stages(spark, tmp_path):
     assert sorted(map(str, whole.collect())) == sorted(map(str, docs.select(whole.columns).collect()))
 
 
+def test_sharded_corpus_has_its_texts_and_clashing_columns(spark):
+    import corpus_pipeline
+
+    rows = [(1, "a b"), (1, "c"), (None, None), (2, ""), (2, "x" * 1_000_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("size", F.lit("own")).withColumn("Shard", F.lit(7))
+    found = corpus_pipeline.shard(spark, docs, FOLDER)
+    assert sorted((r.doc_id or 0, r.text or "") for r in found.collect()) == sorted((i or 0, t or "") for i, t in rows)
+    assert {tuple(r.given) for r in found.collect()} == {("own", 7)} and found.schema["shard"].dataType.simpleString() == "int"
+    plain = corpus_pipeline.shard(spark, docs.select("doc_id", "text"), FOLDER)
+    assert plain.columns == ["doc_id", "text", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+
+
+def test_pipeline_over_odd_rows(spark, tmp_path):
+    """Nulls, repeated ids with other texts, copies, empty and long texts; then an empty table."""
+    import corpus_pipeline
+
+    for table in ("labels", "benchmark"):
+        spark.read.parquet(f"{FOLDER}/{table}.parquet").write.parquet(str(tmp_path / f"{table}.parquet"))
+    kind = spark.read.parquet(f"{FOLDER}/documents.parquet").schema
+    clean = [" ".join(f"w{n}x{i}" for i in range(40)) for n in range(6)]
+    rows = [(1, clean[0]), (1, clean[1]), (2, clean[1]), (None, clean[2]), (3, None), (4, ""), (5, clean[3] + " y" * 500_000), (6, clean[4]), (6, clean[4])]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k % 3}" if k else None, 0) for k, (i, t) in enumerate(rows)], kind)
+    kept = corpus_pipeline.drop_contaminated(spark, corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)), str(tmp_path))
+    assert sorted((r.doc_id or 0, len(r.text or "")) for r in kept.collect()) == sorted(
+        [(1, len(clean[0])), (1, len(clean[1])), (0, len(clean[2])), (3, 0), (5, len(rows[6][1])), (6, len(clean[4]))])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.text for r in whole} <= {t for _, t in rows} and len(whole) > 0
+    docs.limit(0).write.mode("overwrite").parquet(str(tmp_path / "none" / "documents.parquet"))
+    for table in ("labels", "benchmark"):
+        spark.read.parquet(f"{FOLDER}/{table}.parquet").limit(0).write.parquet(str(tmp_path / "none" / f"{table}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_entry_without_the_subpackage(monkeypatch):
     import __spark_entry__ as entry
 
