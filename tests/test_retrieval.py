@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from passagework.functions import vectors as V
 from passagework.operators import embedding, retrieval
+from passagework.plans import nearest as nearest_plan
 
 rng = np.random.default_rng(7)
 
@@ -150,3 +151,51 @@ def test_queries_are_embedded_once_and_windows_bounded(spark):
     assert found._jdf.queryExecution().sparkPlan().toString().count("WindowGroupLimit") >= 2
     retrieval.best_match(embedding.embed_chunks(texts, factory, "m"), corpus.drop("chunk_index"), "document_id").collect()
     assert asked.value == 18
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2", "inner"])
+def test_block_bounds_skip_pairs_and_lose_nothing(spark, metric):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 8)) * 4
+    vectors = np.concatenate([c + rng.normal(size=(400, 8)) * 0.2 for c in centres])
+    chunks = spark.createDataFrame([("d", i, v.tolist()) for i, v in enumerate(vectors)], "document_id string, chunk_index int, embedding array<double>").repartition(2)
+    asked = centres + rng.normal(size=centres.shape) * 0.1
+    queries = spark.createDataFrame([(i, 5, v.tolist()) for i, v in enumerate(asked)], "query_id int, top_k int, embedding array<double>")
+    space, keys = nearest_plan.DenseVectors(metric), ["document_id", "chunk_index"]
+    patch = pytest.MonkeyPatch()
+    patch.setattr(nearest_plan, "CHUNK_ROWS", 200)
+    patch.setattr(nearest_plan, "QUERY_ROWS", 4)
+    got = {(r.query_id, r.rank): r.chunk_index for r in nearest_plan.nearest(queries, chunks, keys, space, 40_000).collect()}
+    pairs = nearest_plan.block_pairs(queries, chunks, keys, space, 40_000).first()
+    patch.undo()
+    products = asked @ vectors.T
+    ranks = {"inner": products, "l2": -np.sqrt(((asked[:, None] - vectors[None]) ** 2).sum(2)), "cosine": products / np.linalg.norm(asked, axis=1)[:, None] / np.linalg.norm(vectors, axis=1)}[metric]
+    for q in range(len(asked)):
+        assert [got[q, r + 1] for r in range(5)] == np.argsort(-np.round(ranks[q], 9), kind="stable")[:5].tolist()
+    assert pairs.pairs >= 3 * 24 and pairs.skipped > 0.1 * pairs.pairs
+
+
+def test_posting_heads_skip_blocks_without_shared_buckets(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(3000):
+        topic = i % 10
+        buckets = sorted(set((topic * 100 + rng.integers(0, 30, 6)).tolist()))
+        rows.append((i, [int(b) for b in buckets], [int(w) for w in rng.integers(1, 5, len(buckets))]))
+    chunks = spark.createDataFrame(rows, "chunk_index int, bucket array<int>, weight array<int>").repartition(2)
+    queries = spark.createDataFrame([(q, 3, rows[q * 7][1], rows[q * 7][2]) for q in range(20)], "query_id int, top_k int, bucket array<int>, weight array<int>")
+    patch = pytest.MonkeyPatch()
+    patch.setattr(nearest_plan, "CHUNK_ROWS", 128)
+    patch.setattr(nearest_plan, "QUERY_ROWS", 2)
+    space = nearest_plan.SparseCounts()
+    got = {(r.query_id, r.rank): (r.chunk_index, round(r.score, 9)) for r in nearest_plan.nearest(queries, chunks, ["chunk_index"], space).collect()}
+    pairs = nearest_plan.block_pairs(queries, chunks, ["chunk_index"], space).first()
+    patch.undo()
+    for q in range(20):
+        mine = dict(zip(*rows[q * 7][1:]))
+        scores = []
+        for i, buckets, weights in rows:
+            product = sum(w * mine.get(b, 0) for b, w in zip(buckets, weights))
+            scores.append((-round(product / np.sqrt(sum(w * w for w in weights) * sum(w * w for w in mine.values())), 9), i))
+        assert [got[q, r + 1] for r in range(3)] == [(i, -s) for s, i in sorted(scores)[:3]]
+    assert pairs.skipped > 0.5 * pairs.pairs
