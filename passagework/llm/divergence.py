@@ -29,6 +29,7 @@ BITS, BLOCK = 512, 64
 _WORDS = BITS // 64
 #: Entries that a task counts before it hands them on; joint cells that it holds at once.
 _HELD, _CELLS = 300_000, 1 << 19
+_SALTS = 64
 _LETTERS = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
 
@@ -132,7 +133,10 @@ def _placed(vocabulary: DataFrame) -> DataFrame:
     """Each kept term's chunk (``class, bucket, sub``) and bit; terms of like frequency share chunks of at most ``BITS``."""
     with_class = vocabulary.withColumn("class", F.floor(F.log2("all")).cast("int"))
     sizes = with_class.groupBy("lang", "class").agg(F.ceil(F.count("*") / BITS).cast("bigint").alias("buckets"))
-    dealt = with_class.join(sizes, ["lang", "class"]).withColumn("bucket", F.pmod(F.xxhash64("term"), F.col("buckets")))
+    # a class may hold a third of all terms, so it meets its size under several salts
+    salted = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(_SALTS - 1).cast("bigint"))))
+    own = F.pmod(F.xxhash64("term", F.lit(1)), F.lit(_SALTS).cast("bigint"))
+    dealt = with_class.withColumn("salt", own).join(salted, ["lang", "class", "salt"]).withColumn("bucket", F.pmod(F.xxhash64("term"), F.col("buckets")))
     place = F.row_number().over(Window.partitionBy("lang", "class", "bucket").orderBy("term")) - 1
     placed = dealt.withColumn("place", place)
     return placed.select("lang", "term", "all", "class", "bucket", F.floor(F.col("place") / BITS).cast("int").alias("sub"), (F.col("place") % BITS).alias("bit"))
