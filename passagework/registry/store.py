@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from passagework.functions.text import join_ordered
-from passagework.operators import chunking, embedding, ingest, provenance
-from passagework.registry.base import DOC_PAGES_SQL, document_pages, load, query, sql_chunk_tables
+from passagework.operators import chunking, embedding, ingest, provenance, retrieval
+from passagework.registry.base import DOC_PAGES_SQL, document_pages, load, query, sql_chunk_tables, sql_hashed_topk
 from passagework.registry.ingest import HANDLERS, PAGES_SQL, WITH_HTML, document_files
 from passagework.session import scratch_path
 from passagework.sources import files, markup, tables
@@ -374,3 +374,27 @@ def file_ingest(spark, folder):
         F.size("embedding").alias("dim"),
     )
     return rows.join(F.broadcast(again)).join(F.broadcast(audit))
+
+
+@query(
+    "store_search",
+    f"""{INGESTED_SQL}, items AS (SELECT item_id AS query_id, text FROM benchmark),
+filed AS (SELECT document_id, chunk_index, text FROM numbered), {sql_hashed_topk('5', 64, 'items', keys='document_id, chunk_index').replace('FROM ch)', 'FROM filed)')}
+SELECT query_id, rank, document_id, chunk_index, round(score, 6) AS score FROM hits""",
+)
+def store_search(spark, folder):
+    """All files are taken in, the batch is written again over itself and compacted, and the store answers the benchmark's texts."""
+    source, store = _write_files(spark, folder), scratch_path(spark, "store")
+    handler = files.Handler("PlainHandler", "1", ("TEXT",), _plain_pages)
+    runs, now = spark.createDataFrame([RUN], RUN_COLUMNS), F.lit(NOW).cast("timestamp")
+    provider = embedding.hashing_provider(64)
+    for batch, overwrite in (("first", False), ("second", False), ("anew", True), ("again", False)):
+        ingest.ingest_files(spark, source, store, batch, [handler], runs, provider, 64, "hashing", {"txt": "TEXT"}, now, (".txt",), overwrite)
+    ingest.compact(spark, store, "compacted")
+    row = F.regexp_extract("uri", "/row=([^/]*)/", 1)
+    names = ingest.current_documents(spark, store).select(F.col("id").alias("document_id"), row.alias("row"), "file_name")
+    items = load(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    # Equal scores are ordered by the names that the SQL knows, not by the hashed ids.
+    chunks = ingest.stored_chunks(spark, store).join(names, "document_id").withColumn("document_id", F.col("row"))
+    hits = retrieval.search(embedding.embed_chunks(items, provider, "hashing"), chunks.select("document_id", "chunk_index", "embedding"), k=5)
+    return hits.select("query_id", "rank", "document_id", "chunk_index", F.round("score", 6).alias("score"))
