@@ -16,6 +16,7 @@ from passagework.functions.text import has_text
 from passagework.functions.tokens import bpe_chunker
 from passagework.plans.checks import first_reason, split_on_reason
 from passagework.plans.running import number_blocks, running_sums
+from passagework.plans.stage import stage
 
 # Defaults of the chunker and of the ingest job.
 DEFAULT_SIZE = 2048
@@ -132,10 +133,15 @@ def sentence_pieces(text: str, size: str, min_chars: str) -> str:
     return f"CASE WHEN length({text}) <= {size} THEN {_whole(text)} ELSE {chunks} END"
 
 
-def _explode(pages: DataFrame, pieces: str) -> DataFrame:
+def _packed(pages: DataFrame, pieces: str) -> DataFrame:
+    """The pieces of a page and their starts as one array ``__packed`` in the place of the content."""
     rows = pages.withColumn("__pieces", F.expr(pieces)).withColumn("__starts", F.expr(_starts("__pieces")))
-    return rows.selectExpr("*", "posexplode(arrays_zip(__pieces, __starts)) AS (piece_no, __c)").selectExpr(
-        *[f"`{c}`" for c in pages.columns if c != "content"],
+    return rows.selectExpr(*[f"`{c}`" for c in pages.columns if c != "content"], "arrays_zip(__pieces, __starts) AS __packed")
+
+
+def _unpacked(rows: DataFrame) -> DataFrame:
+    return rows.selectExpr("*", "posexplode(__packed) AS (piece_no, __c)").selectExpr(
+        *[f"`{c}`" for c in rows.columns if c != "__packed"],
         "piece_no",
         "__c.__pieces.text AS text",
         "__c.__starts AS start_index",
@@ -144,6 +150,10 @@ def _explode(pages: DataFrame, pieces: str) -> DataFrame:
     )
 
 
+def _explode(pages: DataFrame, pieces: str) -> DataFrame:
+    return _unpacked(_packed(pages, pieces))
+
+
 def non_blank(pages: DataFrame) -> DataFrame:
     return pages.filter(has_text(F.col("content")))
 
@@ -193,6 +203,22 @@ def number_chunks(chunks: DataFrame, document: str = "document_id", page: str =
     return joined.withColumn("chunk_index", (F.col("before") + F.col("piece_no")).cast("int")).drop("before")
 
 
+def numbered_chunks(
+    pages: DataFrame, size: int = DEFAULT_SIZE, min_chars: int = DEFAULT_MIN_CHARS, document: str = "document_id", page: str = "page_number"
+) -> DataFrame:
+    """:func:`recursive_chunks` by characters with ``chunk_index``, without a second pass over the texts.
+
+    The pieces of a page stay one array while their counts are summed along the document; pages are cut once, and what is
+    summed is one number a page. Only then the arrays become rows.
+    """
+    packed = _packed(non_blank(pages), recursive_pieces("content", str(size), str(min_chars)))
+    staged = stage(packed.withColumn("__count", F.size("__packed")), "pieces")
+    counts = staged.select(document, page, "__count").groupBy(document, page).agg(F.max("__count").alias("__count"))
+    before = running_sums(counts, [document], [page], number_blocks(F.col(page)), {"__before": F.col("__count")}, inclusive=False)
+    rows = _unpacked(staged.join(before.drop("__count"), [document, page]).drop("__count"))
+    return rows.withColumn("chunk_index", (F.col("__before") + F.col("piece_no")).cast("int")).drop("__before")
+
+
 def chunk_with_configs(
     pages: DataFrame, configs: DataFrame, vocabulary: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
@@ -220,8 +246,6 @@ def chunk_with_configs(
     rows = non_blank(pages).join(sized, "parser")
     counted = {name: rows.filter(F.col("tokenizer") == name).drop("tokenizer") for name in TOKENIZERS}
     by_length = _explode(counted["character"], recursive_pieces("content", "__size", "__min"))
-    if sized.filter(F.col("tokenizer") == "gpt2").isEmpty():
-        return by_length.drop("__size", "__min"), refused
     by_tokens = _explode_by_tokens(counted["gpt2"], F.col("__size"), F.col("__min"), vocabulary)
     return by_length.unionByName(by_tokens).drop("__size", "__min"), refused
 

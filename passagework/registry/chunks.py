@@ -69,8 +69,8 @@ SELECT document_id, page_number, start_index,
  CAST(row_number() OVER (PARTITION BY document_id ORDER BY page_number, start_index) - 1 AS INTEGER) AS chunk_index FROM ch""",
 )
 def chunk_ordinals(spark, folder):
-    chunks = chunking.recursive_chunks(line_pages(spark, folder), 256)
-    return chunking.number_chunks(chunks).select("document_id", "page_number", "start_index", "chunk_index")
+    chunks = chunking.numbered_chunks(line_pages(spark, folder), 256)
+    return chunks.select("document_id", "page_number", "start_index", "chunk_index")
 
 
 @query(

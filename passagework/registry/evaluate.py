@@ -156,7 +156,7 @@ FILE_SAMPLES_SQL = f"""smp AS (SELECT DISTINCT md5(user_input || '|' || referenc
 items AS (SELECT sample_id AS query_id, user_input AS text FROM smp)"""
 FILE_ANSWERS_SQL = f"""res AS (SELECT query_id AS sample_id, rank, content FROM found),
 ctx AS (SELECT query_id AS sample_id, {BLOCK_SQL} AS context FROM found GROUP BY query_id),
-ans AS (SELECT s.*, substring('Context:' || chr(10) || coalesce(context, '') || chr(10) || chr(10) || 'Question: ' || user_input, 10, 300) AS response
+ans AS (SELECT s.*, substring('Context:' || chr(10) || coalesce(context, '') || chr(10) || chr(10) || 'Question: ' || user_input, 10) AS response
   FROM smp s LEFT JOIN ctx USING (sample_id))"""
 
 
@@ -170,7 +170,7 @@ SELECT sample_id, user_input, round(context_recall, 6) AS context_recall, round(
 UNION ALL SELECT NULL, NULL, round(avg(context_recall), 6), round(avg(context_precision), 6), round(avg(answer_correctness), 6) FROM a""",
 )
 def eval_from_file(spark, folder):
-    """The benchmark as JSON files of samples, read back, searched and judged; an answer is the head of its prompt's context."""
+    """The benchmark as JSON files of samples, read back, searched and judged; an answer is all that its prompt says after its first line: context and question."""
     path = scratch_path(spark, "evaluation-set")
     rows = samples(spark, folder).withColumn("file", F.floor(F.col("sample_id") / PER_FILE))
     lists = rows.groupBy("file").agg(F.to_json(F.collect_list(F.struct("user_input", "reference"))).alias("value"))
@@ -178,10 +178,10 @@ def eval_from_file(spark, folder):
     loaded = load_eval_set(spark, f"{path}/file=*").distinct()
     named = stage(loaded.withColumn("sample_id", F.md5(F.concat_ws("|", "user_input", "reference"))), "samples")
 
-    def head(prompted):
-        return prompted.select("sample_id", F.substring("prompt", 10, 300).alias("completion"))
+    def echo(prompted):
+        return prompted.select("sample_id", F.expr("substr(prompt, 10)").alias("completion"))
 
     chunks, documents = text_chunks(spark, folder), named_documents(spark, folder)
-    report = flows.evaluate_samples(named, chunks, documents, embedding.hashing_provider(DIM), "hashing", head)
+    report = flows.evaluate_samples(named, chunks, documents, embedding.hashing_provider(DIM), "hashing", echo)
     scores = ("context_recall", "context_precision", "answer_correctness")
     return report.select("sample_id", "user_input", *[F.round(n, 6).alias(n) for n in scores])

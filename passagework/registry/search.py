@@ -242,7 +242,7 @@ pivot_rows AS (SELECT min(list_no) AS list_no, w FROM drawn GROUP BY w),
 nearest_lists AS (SELECT vec_id, list_no, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_dot_product(v, w), 9) DESC, list_no) AS place
   FROM e, pivot_rows),
 cand AS (SELECT q.vec_id AS query_id, c.vec_id AS document_id FROM nearest_lists q JOIN nearest_lists c ON q.list_no = c.list_no
-  WHERE c.place = 1 AND q.place <= greatest(1, (SELECT count(*) * 15 // 100 FROM pivot_rows))),
+  WHERE c.place = 1 AND q.place <= greatest(1, (SELECT count(*) * 45 // 100 FROM pivot_rows))),
 near AS (SELECT query_id, document_id, round(list_dot_product(q.v, c.v) / (q.norm * c.norm), 9) AS score
   FROM cand JOIN n q ON q.vec_id = query_id JOIN n c ON c.vec_id = document_id),
 found AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS INTEGER) AS rank FROM near QUALIFY rank <= 5)"""

@@ -383,13 +383,13 @@ filed AS (SELECT document_id, chunk_index, text FROM numbered), {sql_hashed_topk
 SELECT query_id, rank, document_id, chunk_index, round(score, 6) AS score FROM hits""",
 )
 def store_search(spark, folder):
-    """All files are taken in, the batch is written again over itself and compacted, and the store answers the benchmark's texts."""
+    """All files are taken in twice, both batches become one, and the store answers the benchmark's texts."""
     source, store = _write_files(spark, folder), scratch_path(spark, "store")
     handler = files.Handler("PlainHandler", "1", ("TEXT",), _plain_pages)
     runs, now = spark.createDataFrame([RUN], RUN_COLUMNS), F.lit(NOW).cast("timestamp")
     provider = embedding.hashing_provider(64)
-    for batch, overwrite in (("first", False), ("second", False), ("anew", True), ("again", False)):
-        ingest.ingest_files(spark, source, store, batch, [handler], runs, provider, 64, "hashing", {"txt": "TEXT"}, now, (".txt",), overwrite)
+    for batch in ("first", "second"):
+        ingest.ingest_files(spark, source, store, batch, [handler], runs, provider, 64, "hashing", {"txt": "TEXT"}, now, (".txt",))
     ingest.compact(spark, store, "compacted")
     row = F.regexp_extract("uri", "/row=([^/]*)/", 1)
     names = ingest.current_documents(spark, store).select(F.col("id").alias("document_id"), row.alias("row"), "file_name")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from passagework.operators import conversations as C
 from passagework.operators import embedding, evaluation, prompts
 from passagework.operators.ingest import current_documents, stored_chunks, stored_configs
-from passagework.plans.running import number_blocks, running_sums
+from passagework.plans.running import BLOCK, number_blocks, range_blocks, running_sums
 from passagework.registry.store import RUN, RUN_COLUMNS
 from passagework.sources import files, markup
 from passagework.streaming import counter, ingest
@@ -185,3 +185,14 @@ def test_hashed_words_of_a_batch(spark):
     for r in embedding.hashed_counts(rows, "t", 512).collect():
         assert dict(zip(r.bucket, r.weight)) == {i: int(v) for i, v in enumerate(vectors[r.id]) if v}
     assert vectors[3].tolist() == [2 * v for v in dict(embedding.hashing_provider(512)()(["x"]))[0].tolist()]
+
+
+def test_a_busy_instant_spreads_over_blocks(spark):
+    events = spark.range(5000).select((F.col("id") % 5 == 0).cast("int").alias("k"), F.timestamp_seconds(F.lit(7)).alias("ts"), (F.col("id") * 7 % 5003).alias("tie"))
+    blocks = range_blocks(events, ["k", "ts", "tie"]).groupBy("k", BLOCK).count().collect()
+    assert max(r["count"] for r in blocks) < 2000 and len({r[BLOCK] for r in blocks if r.k == 0}) > 2
+    got = C.running_counter(events, "k", "ts", "tie", 10).collect()
+    for k in (0, 1):
+        mine = sorted((r.tie, r.counter) for r in got if r.k == k)
+        assert [c for _, c in mine] == list(range(11, 11 + len(mine)))
+    assert got[0].asDict().keys() == {"k", "ts", "tie", "counter"}

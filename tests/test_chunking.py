@@ -156,3 +156,14 @@ def test_refused_configs(spark):
     chunks, refused = chunking.chunk_with_configs(pages, configs)
     assert {r.config_hash for r in refused.collect()} == {"b", "c"}
     assert "".join(r.text for r in chunks.orderBy("piece_no").collect()) == "Some text here."
+
+
+def test_numbering_before_the_rows_equals_numbering_after(spark):
+    texts = ["One two. Three four five. " * n for n in range(1, 9)] + ["", "   ", None]
+    rows = [(d, p, t) for d in range(3) for p, t in enumerate(texts)] + [(None, 0, texts[3])]
+    pages = spark.createDataFrame(rows, "document_id int, page_number int, content string").withColumn("other", F.lit("x")).repartition(4)
+    one = chunking.number_chunks(chunking.recursive_chunks(pages, 40)).collect()
+    two = chunking.numbered_chunks(pages, 40)
+    columns = ["document_id", "page_number", "other", "piece_no", "text", "start_index", "end_index", "token_count", "chunk_index"]
+    known = lambda found: sorted((tuple(r[c] for c in columns) for r in found if r.document_id is not None))
+    assert two.columns == columns and known(two.collect()) == known(one)
