@@ -11,6 +11,7 @@ from passagework.operators import chunking, pages
 from passagework.registry.base import (
     DOC_PAGES_SQL, LINE_PAGES_SQL, document_pages, line_pages, load, query, sql_chunk_tables,
 )
+from passagework.plans.stage import stage
 from passagework.session import scratch_path
 from passagework.sources import evalset, files, markup, tables
 
@@ -129,20 +130,29 @@ def table_roundtrip(spark, folder):
 
 @query(
     "table_lifecycle",
-    "SELECT false AS existed_before, false AS dropped, count(*) AS documents FROM documents",
+    f"""SELECT 'kept' AS state, false AS dropped, {URI_SQL} AS uri FROM documents
+UNION ALL SELECT 'anew', true, {URI_SQL} FROM documents WHERE doc_id % 2 = 0""",
 )
 def table_lifecycle(spark, folder):
-    prefix, place = f"t{uuid.uuid4().hex}_", scratch_path(spark, "lifecycle")
-    before = tables.tables_exist(spark, prefix)
+    """Tables are made, filled and kept by a second start; a third one drops them, and half of the documents go in anew."""
+    prefix = f"t{uuid.uuid4().hex}_"
+
+    def fill(rows):
+        files.file_facts(rows).select(
+            F.sha2("uri", 256).alias("id"), "uri", "file_name", "mime_type", "byte_size", "content_hash",
+            F.lit("{}").alias("metadata"), F.current_timestamp().alias("created_at"), F.current_timestamp().alias("updated_at"),
+        ).write.insertInto(f"{prefix}documents")
+
+    def state(name, dropped):
+        return spark.table(f"{prefix}documents").select(F.lit(name).alias("state"), F.lit(dropped).alias("dropped"), "uri")
+
+    place = scratch_path(spark, "lifecycle")
     tables.reset_tables(spark, prefix, place)
-    files.file_facts(document_files(spark, folder)).select(
-        F.sha2("uri", 256).alias("id"), "uri", "file_name", "mime_type", "byte_size", "content_hash",
-        F.lit("{}").alias("metadata"), F.current_timestamp().alias("created_at"), F.current_timestamp().alias("updated_at"),
-    ).write.insertInto(f"{prefix}documents")
-    dropped = tables.reset_tables(spark, prefix, place)
-    return spark.table(f"{prefix}documents").agg(
-        F.lit(before).alias("existed_before"), F.lit(dropped).alias("dropped"), F.count(F.lit(1)).alias("documents")
-    )
+    fill(document_files(spark, folder))
+    kept = stage(state("kept", tables.reset_tables(spark, prefix, place)), "kept")
+    dropped = tables.reset_tables(spark, prefix, scratch_path(spark, "lifecycle"), overwrite=True)
+    fill(document_files(spark, folder).filter("doc_id % 2 = 0"))
+    return kept.unionByName(state("anew", dropped))
 
 
 @query(
@@ -213,15 +223,16 @@ def page_count(spark, folder):
 
 @query(
     "title_fallback",
-    """SELECT page_id, coalesce(nullif(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), ''), string_split(url, '/')[-1]) AS title,
+    """SELECT page_id, coalesce(nullif(CASE WHEN page_id % 5 = 0 THEN '' ELSE regexp_extract(html, '(?s)<title>(.*?)</title>', 1) END, ''),
+  string_split(url, '/')[-1]) AS title,
  '' AS author, strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(page_id), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS created,
  '' AS modified FROM pages""",
 )
 def title_fallback(spark, folder):
-    # Pages whose address carries a query string lose their title, so that the fallback is used too.
+    # Every fifth page loses its title, so that the fallback is used too.
     html = load(spark, folder, "pages").select(
         "page_id",
-        F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"),
+        F.when(F.col("page_id") % 5 != 0, F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)).alias("title"),
         files.file_name(F.col("url")).alias("file_name"),
         F.lit(None).cast("string").alias("author"),
         F.timestamp_seconds(F.lit(1704067200) + F.col("page_id")).alias("created"),
