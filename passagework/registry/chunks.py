@@ -4,10 +4,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from passagework.functions import vectors as V
-from passagework.operators import chunking, embedding, provenance
+from passagework.operators import chunking, embedding, provenance, vector_cache
 from passagework.registry.base import (
     DOC_PAGES_SQL, LINE_PAGES_SQL, NON_BLANK, document_pages, line_pages, load, query, sql_chunk_tables, sql_hashed,
 )
+from passagework.session import scratch_path
+from passagework.sources.tables import read_committed
 
 
 @query(
@@ -180,6 +182,24 @@ def hash_embedding(spark, folder):
     return long.filter("v <> 0").select("document_id", "piece_no", "dimension", F.col("v").cast("bigint").alias("weight"))
 
 
+@query(
+    "embedding_cache",
+    f"""WITH {DOC_PAGES_SQL}, {sql_chunk_tables('pg', '2048')}, {sql_hashed('ch', 'document_id, piece_no', 64, 'h')},
+n AS (SELECT count(DISTINCT text) AS asked FROM ch)
+SELECT document_id, piece_no, CAST(b AS INTEGER) AS dimension, w AS weight, asked, 0::BIGINT AS asked_again FROM h, n""",
+)
+def embedding_cache(spark, folder):
+    """Chunks are embedded twice through a vector cache: copies are asked for once, and the second time nothing is."""
+    path, provider = scratch_path(spark, "vectors"), embedding.hashing_provider(64)
+    chunks = chunking.recursive_chunks(document_pages(spark, folder)).select("document_id", "piece_no", "text")
+    for batch in ("first", "second"):
+        embedded = vector_cache.embed_cached(chunks, provider, "hashing-64", path, batch)
+    held = read_committed(spark, path, "vectors", vector_cache.VECTORS)
+    counts = held.agg(*[F.count(F.when(F.col("batch") == b, 1)).alias(n) for b, n in (("first", "asked"), ("second", "asked_again"))])
+    long = embedded.select("document_id", "piece_no", F.posexplode("embedding").alias("dimension", "v")).filter("v <> 0")
+    return long.select("document_id", "piece_no", "dimension", F.col("v").cast("bigint").alias("weight")).join(F.broadcast(counts))
+
+
 @query(
     "vector_dim_check",
     """SELECT vec_id, CASE label WHEN 3 THEN 'vector has another width' WHEN 5 THEN 'vector is null'

@@ -2,7 +2,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from passagework.operators import embedding, ingest
+from passagework.operators import embedding, ingest, vector_cache
 from passagework.registry.store import RUN, RUN_COLUMNS
 from passagework.sources import files, markup, tables
 
@@ -113,3 +113,37 @@ def test_two_writers_do_not_get_the_same_number(spark, tmp_path):
     assert tables._claim(spark, path, 2) == 2  # another writer, which has not committed yet
     assert tables.commit_batch(path, {"documents": rows}, "b")
     assert sorted(r.sequence for r in tables._marks(spark, path).collect()) == [1, 3]
+
+
+def test_a_text_reaches_the_provider_once(spark, tmp_path):
+    path, asked = str(tmp_path / "vectors"), spark.sparkContext.accumulator(0)
+
+    def factory():
+        real = embedding.hashing_provider(16)()
+
+        def provide(texts):
+            asked.add(len(texts))
+            return real(texts)
+
+        return provide
+
+    texts = [f"text number {i % 60}" for i in range(100)] + [None, "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").withColumn("digest", F.lit("own")).repartition(5)
+    first = vector_cache.embed_cached(rows, factory, "m", path, "1")
+    assert first.columns == ["id", "text", "digest", "embedding", "embedding_model"]
+    plain = {r.id: r.embedding for r in embedding.embed_chunks(rows, embedding.hashing_provider(16), "m").collect()}
+    assert {r.id: r.embedding for r in first.collect()} == plain and asked.value == 62
+    more = spark.createDataFrame([(1, "text number 5"), (2, "new text")], "id int, text string")
+    assert vector_cache.embed_cached(more, factory, "m", path, "2").count() == 2 and asked.value == 63
+    assert vector_cache.embed_cached(more, factory, "other", path, "3").count() == 2 and asked.value == 65
+    assert vector_cache.embed_cached(rows.limit(0), factory, "m", path, "4").count() == 0
+
+
+def test_ingest_asks_for_known_texts_only_once(spark, taken, tmp_path):
+    take, path, _ = taken
+    cache = str(tmp_path / "cache")
+    other = (*RUN[:1], RUN[1], '{"chunk_size": 257, "min_characters_per_chunk": 24}', *RUN[3:])
+    take("1", {"a": "Same text.", "b": "Same text."}, vectors=cache)
+    take("2", {"a": "Same text.", "b": "Same text."}, (RUN, other), vectors=cache)
+    assert ingest.stored_chunks(spark, path).count() == 4
+    assert tables.read_committed(spark, cache, "vectors", vector_cache.VECTORS).count() == 1
