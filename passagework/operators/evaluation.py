@@ -38,14 +38,19 @@ def _context_words(results: DataFrame) -> DataFrame:
     return results.select("sample_id", "rank", F.explode(word_set(F.col("content"))).alias("word"))
 
 
+def reference_sentences(samples: DataFrame) -> DataFrame:
+    """(sample_id, sentence_no, sentence, words) of the reference sentences that have a word."""
+    sentences = F.regexp_extract_all(F.col("reference"), F.lit(SENTENCES_AND_LINES), F.lit(0))
+    rows = samples.select("sample_id", F.posexplode(sentences).alias("sentence_no", "sentence"))
+    return rows.withColumn("words", word_set(F.col("sentence"))).filter(F.size("words") > 0)
+
+
 def support_verdicts(samples: DataFrame, results: DataFrame, theta: float = DEFAULT_THETA) -> DataFrame:
     """(sample_id, sentence_no, supported) for every reference sentence that has a word.
 
     Sentences meet contexts through shared words of the same sample, so a word meets at most top_k contexts.
     """
-    sentences = F.regexp_extract_all(F.col("reference"), F.lit(SENTENCES_AND_LINES), F.lit(0))
-    words = samples.select("sample_id", F.posexplode(F.transform(sentences, word_set)).alias("sentence_no", "words"))
-    words = words.filter(F.size("words") > 0)
+    words = reference_sentences(samples).drop("sentence")
     single = words.select("sample_id", "sentence_no", F.size("words").alias("size"), F.explode("words").alias("word"))
     shared = single.join(_context_words(results), ["sample_id", "word"]).groupBy(
         "sample_id", "sentence_no", "rank", "size"

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from passagework.functions import vectors as V
 from passagework.operators import chunking, embedding, evaluation, flows, prompts, retrieval
+from passagework.operators import judging as judges
 from passagework.plans.stage import stage
 from passagework.registry.base import load, query, sql_hashed, sql_words
 from passagework.registry.chat import BLOCK_SQL
@@ -185,3 +186,32 @@ def eval_from_file(spark, folder):
     report = flows.evaluate_samples(named, chunks, documents, embedding.hashing_provider(DIM), "hashing", echo)
     scores = ("context_recall", "context_precision", "answer_correctness")
     return report.select("sample_id", "user_input", *[F.round(n, 6).alias(n) for n in scores])
+
+
+def _verbatim():
+    """A second judge: a statement holds if the context has it word for word. It leaves out every third answer of a request."""
+    def judge(pairs):
+        return [(i, int(statement in context)) for i, (statement, context) in enumerate(pairs) if i % 3 or len(pairs) < 4]
+
+    return judge
+
+
+@query(
+    "eval_second_judge",
+    f"""WITH {text_hits_sql(15)}, {SAMPLES_SQL}, {RECALL_SQL.split('sup AS')[0]}
+sup AS (SELECT s.sample_id, s.no, max(CASE WHEN contains(r.content, s.sentence) THEN 1 ELSE 0 END) AS supported
+  FROM sent s JOIN sw USING (sample_id, no) JOIN res r ON s.sample_id = r.sample_id WHERE len(sw.words) > 0 GROUP BY ALL),
+recall AS (SELECT sample_id, coalesce(avg(supported), 0) AS context_recall FROM smp LEFT JOIN sup USING (sample_id) GROUP BY sample_id),
+rv AS (SELECT r.sample_id, r.rank, CASE WHEN contains(r.content, s.reference) THEN 1 ELSE 0 END AS rel FROM res r JOIN smp s USING (sample_id)),
+rp AS (SELECT *, sum(rel) OVER (PARTITION BY sample_id ORDER BY rank) / rank::DOUBLE AS precision FROM rv),
+prec AS (SELECT sample_id, coalesce(sum(precision * rel) / nullif(sum(rel), 0), 0) AS context_precision FROM smp LEFT JOIN rp USING (sample_id) GROUP BY sample_id)
+SELECT sample_id, round(context_recall, 6) AS context_recall, round(context_precision, 6) AS context_precision FROM recall JOIN prec USING (sample_id)""",
+)
+def eval_second_judge(spark, folder):
+    """The samples judged word for word by an injected judge, with its verdicts kept."""
+    rows, found = samples(spark, folder), stage(results(spark, folder), "results")
+    judging = judges.Judging(_verbatim, "verbatim", scratch_path(spark, "verdicts"), size=16, attempts=8)
+    recall = evaluation.context_recall(judges.support_verdicts(rows, found, judging, "support"), rows)
+    precision = evaluation.context_precision(judges.relevance_verdicts(rows, found, judging, "relevance"), rows)
+    both = recall.join(precision, "sample_id")
+    return both.select("sample_id", *[F.round(n, 6).alias(n) for n in ("context_recall", "context_precision")])

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from passagework.operators import conversations as C
 from passagework.operators import embedding, evaluation, prompts
+from passagework.operators import judging as judges
 from passagework.operators.ingest import current_documents, stored_chunks, stored_configs
 from passagework.plans.running import BLOCK, number_blocks, range_blocks, running_sums
 from passagework.registry.store import RUN, RUN_COLUMNS
@@ -196,3 +197,32 @@ def test_a_busy_instant_spreads_over_blocks(spark):
         mine = sorted((r.tie, r.counter) for r in got if r.k == k)
         assert [c for _, c in mine] == list(range(11, 11 + len(mine)))
     assert got[0].asDict().keys() == {"k", "ts", "tie", "counter"}
+
+
+def test_a_judge_is_asked_once_per_content_and_must_answer(spark, tmp_path):
+    asked = spark.sparkContext.accumulator(0)
+
+    def factory():
+        def judge(pairs):
+            asked.add(len(pairs))
+            return [(i, int("yes" in c)) for i, (_, c) in enumerate(pairs)]
+
+        return judge
+
+    def silent():
+        return lambda pairs: [(i, 1) for i in range(len(pairs) - 1)] if len(pairs) > 1 else []
+
+    judging = judges.Judging(factory, "j", str(tmp_path))
+    rows = [(1, "s", "yes"), (2, "s", "no"), (3, "s", "yes"), (4, None, "yes"), (5, "sy", "es"), (6, "", None)]
+    pairs = spark.createDataFrame(rows, "id int, statement string, context string").withColumn("verdict_of", F.lit("x"))
+    got = {r.id: r.verdict for r in judges.verdicts(pairs, judging, "a").collect()}
+    assert got == {1: 1, 2: 0, 3: 1, 4: 1, 5: 0, 6: 0} and asked.value == 5
+    assert judges.verdicts(pairs.limit(3), judging, "b").count() == 3 and asked.value == 5
+    assert judges.ask(lambda p: [(0, 1)], [("a", "b")] * 3, 3) == [1, 1, 1]
+    with pytest.raises(Exception, match="no verdict on 1 pairs after 3 attempts"):
+        judges.verdicts(pairs, judges.Judging(silent, "silent", str(tmp_path)), "c").count()
+    samples = spark.createDataFrame([(1, "One here. Two there. ...")], "sample_id int, reference string")
+    found = spark.createDataFrame([(1, 1, "yes"), (1, 2, "no")], "sample_id int, rank int, content string")
+    assert sorted((r.sentence_no, r.supported) for r in judges.support_verdicts(samples, found, judging, "d").collect()) == [(0, 1), (1, 1)]
+    assert sorted((r.rank, r.relevant) for r in judges.relevance_verdicts(samples, found, judging, "e").collect()) == [(1, 1), (2, 0)]
+    assert judges.verdicts(pairs.limit(0), judging, "f").count() == 0
