@@ -9,12 +9,15 @@ numbered 0, 1, ..., take the slots of that length in order. Numbering is distrib
 """
 from __future__ import annotations
 
+import json
 import pathlib
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,16 +25,27 @@ from pyspark.sql import functions as F
 from passagework.plans.stage import stage
 
 LIMIT, END = 1024, 2
-#: Distinct words whose ids a worker remembers; longest word that it remembers (characters).
-_KNOWN, _WORD = 300_000, 48
+#: Distinct words whose ids a worker remembers; longest word that it remembers; characters that it encodes at once.
+_KNOWN, _WORD, _AT_ONCE = 700_000, 48, 6_000_000
 #: Patterns taken into the fit at once; most rounds of the fit.
 _ADDED, _ROUNDS = 48, 40
 #: Shares of the fitted counts that are tried.
 _SHARES = (1.0, 0.85, 0.7, 0.5, 0.3)
 
 
+#: A blank that no word follows; a line end between words; what may end a word of letters.
+_ODD, _LINE, _ENDS = re.compile(r" (?=\s|\Z)"), re.compile(r"(?<=\S)\n(?=\S)"), ".,;:!?"
+#: Fixed values of byte-level vocabularies: printable bytes stand for themselves, the others for characters from 256 on.
+_PRINTED = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_BYTES = {b: chr(b) for b in _PRINTED} | {b: chr(256 + n) for n, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
+
+
 class _Words(dict):
-    """Word -> its ids as little-endian unsigned 32-bit numbers; words end before a blank that a non-blank follows."""
+    """Ids, as little-endian unsigned 32-bit numbers, of a word after a blank or, with a line end before it, of a word after none.
+
+    No token of a byte-level vocabulary crosses the borders used here: before a blank that a non-blank follows, around a single
+    line end, between a letter and the marks that end a word. So words are encoded apart and remembered.
+    """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
@@ -39,29 +53,83 @@ class _Words(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = True
+        self.merger = _merger(vocabulary)
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        bare = word[:1] == "\n"
+        lines = _LINE.split(word[bare:])
+        if len(lines) > 1:
+            first = self["\n" + lines[0] if bare else lines[0]]
+            return first + b"".join(self["\n\n"] + self["\n" + line] for line in lines[1:])
+        core = word.rstrip(_ENDS)
+        if len(core) < len(word) and core[-1:].isalpha():
+            ids = self[core] + self["\n" + word[len(core):]]
+        else:
+            ids = np.array(self._encoded(word[1:] if bare else " " + word), "<u4").tobytes()
         if len(word) <= _WORD:
             if len(self) >= _KNOWN:
                 self.clear()
             self[word] = ids
         return ids
 
+    def _encoded(self, text: str) -> list[int]:
+        letters = text.lstrip(" ")
+        if self.merger and letters.isalpha() and len(text) - len(letters) < 2 and max(letters) < "\u0250":  # one run of letters is one word of the vocabulary's own rule
+            return self.merger.encode_ordinary(text)
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def ids(self, text: str | None) -> bytes:
-        """Ids of a whole text; words are encoded apart, as no token of a byte-level vocabulary crosses their borders."""
-        if not text:
-            return b""
-        words = text.split(" ")
-        if any(not w or w[0].isspace() for w in words[1:]):
-            # blanks that no word follows stay with what is before them
-            joined, words = words, [words[0]]
-            for at, w in enumerate(joined[1:], 1):
-                if w and not w[0].isspace():
-                    words.append(w)
-                else:
-                    words[-1] += " " + w
-        return b"".join(map(self.__getitem__, [words[0], *[" " + w for w in words[1:]]]))
+        """Ids of a whole text."""
+        return self.all_ids([text])[0].tobytes()
+
+    def _odd(self, text: str) -> np.ndarray:
+        """Ids of a text with blanks that no word follows; these stay with what is before them."""
+        joined, words = text.split(" "), []
+        for w in joined:
+            if words and (not w or w[0].isspace()):
+                words[-1] += " " + w
+            else:
+                words.append(w)
+        first = np.array(self.tokenizer.encode(words[0], add_special_tokens=False).ids, "<u4").tobytes()
+        return np.frombuffer(first + b"".join(map(self.__getitem__, words[1:])), "<u4")
+
+    def all_ids(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of whole texts; each distinct word of them is looked up once."""
+        out = [np.zeros(0, "<u4")] * len(texts)
+        plain = [at for at, t in enumerate(texts) if t and not t[0].isspace() and not _ODD.search(t)]
+        for at in set(range(len(texts))).difference(plain):
+            if texts[at]:
+                out[at] = self._odd(texts[at])
+        if not plain:
+            return out
+        split = pc.split_pattern(pa.array(["\n" + texts[at] for at in plain], pa.large_string()), " ")
+        words = split.flatten().dictionary_encode()
+        found = [self[w] for w in words.dictionary.to_pylist()]
+        sizes = np.array([len(b) // 4 for b in found], np.int64)
+        starts, blob, at = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(found), "<u4"), np.asarray(words.indices)
+        size = sizes[at]
+        ends = np.cumsum(size)
+        ids = blob[np.arange(ends[-1]) + np.repeat(starts[at] - ends + size, size)]
+        borders = np.concatenate([[0], ends])[np.asarray(split.offsets)]
+        for n, place in enumerate(plain):
+            out[place] = ids[borders[n]:borders[n + 1]]
+        return out
+
+
+def _merger(vocabulary: str):
+    """A faster encoder of single words, where the vocabulary merges in the order of its ids; None where it does not."""
+    import tiktoken
+
+    model = json.loads(vocabulary)["model"]
+    ids = model["vocab"]
+    merged = [ids["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if merged != sorted(merged) or len(set(merged)) < len(merged):
+        return None
+    back = {c: b for b, c in _BYTES.items()}
+    ranks = {bytes(back[c] for c in token): n for token, n in ids.items() if all(c in back for c in token)}
+    if {n for token, n in ranks.items() if len(token) > 1} - set(merged):  # a special token, which no merge makes
+        ranks = {token: n for token, n in ranks.items() if len(token) == 1 or n in set(merged)}
+    return tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
 
 
 _LOADED: dict[int, _Words] = {}
@@ -75,6 +143,17 @@ def _words(vocabulary: str) -> _Words:
     return _LOADED[key]
 
 
+def _encoded(words: _Words, texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, ids) of a column of texts, ``_AT_ONCE`` characters at a time."""
+    held, size, first = [], 0, 0
+    for at in range(len(texts)):
+        held.append(texts[at].as_py())
+        size += len(held[-1] or "")
+        if size > _AT_ONCE or at + 1 == len(texts):
+            yield from enumerate(words.all_ids(held), first)
+            held, size, first = [], 0, at + 1
+
+
 def cut(length: int, limit: int = LIMIT) -> list[tuple[int, int]]:
     """(start, length) of the pieces of a document: whole if it fits, else pieces of ``limit`` after a shorter first one."""
     first = length % limit
@@ -97,8 +176,8 @@ def pieces(docs: DataFrame, vocabulary: str, limit: int = LIMIT, end: int = END,
         for batch in batches:
             rows: list[list] = [[] for _ in range(7 + keep_ids)]
             docs_at, texts = [], batch.column("text")
-            for at in range(batch.num_rows):
-                ids = words.ids(texts[at].as_py()) + last
+            for at, ids in _encoded(words, texts):
+                ids = ids.tobytes() + last
                 for piece, (start, length) in enumerate(cut(len(ids) // 4, limit)):
                     part = ids[4 * start:4 * (start + length)]
                     docs_at.append(at)
