@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -396,6 +397,60 @@ def test_extraction_without_an_article():
     assert "link 3" not in extraction.main_text(page)
 
 
+ARTICLE = "".join(f"<p>Paragraph {i} of the article has a good many words, more than any menu or notice.</p>" for i in range(8))
+BODY = re.sub(r"</?p>", "\n", ARTICLE).replace("\n\n", "\n").strip()
+COMMENT = "<p>I read it all and I do not agree with a single word of what is said in it, not at all, I must say.</p>"
+LAYOUTS = [
+    "<div class='no-sidebar'>{}</div>", "<div id='content-with-sidebar'>{}</div>", "<div class='layout has-banner'>{}</div>",
+    "<nav><ul><li><a href='/'>Home</a></li></ul>{}", "<div class='sidebar'>{}</div>", "<div>{}</div>", "<section class='wrap'><div>{}</div></section>", "{}",
+]
+AROUND = [
+    "<nav><ul><li><a href='/a'>A</a></li><li><a href='/b'>B</a></li></ul></nav>", "<div class='site-header'>Name of the page</div>",
+    "<div class='ad-slot-2'>Buy more of this, it is cheap today and only today.</div>", "<aside><article class='teaser'><a href='/t'>Read this too</a></article></aside>",
+    "<article><h3><a href='/t1'>Short</a></h3><a href='/t2'>more</a></article>", "<div class='comments'><article>" + COMMENT + "</article></div>",
+    "<footer>All rights reserved</footer>", "<div role='search'><p>Search for words</p></div>", "<form><p>Your name, please</p></form>", "<script>var a = '<p>no</p>';</script>",
+    "<div id='cookieBanner'>We use cookies</div>", "<div hidden><article>" + COMMENT * 3 + "</article></div>",
+]
+INSIDE = [
+    ("", ""), ("<article class='comment'>" + COMMENT + "</article>", ""), ("<section id='related-work'><p>Related work is described here at some length.</p></section>", "\nRelated work is described here at some length."),
+    ("<ul class='share-buttons'><li>Share</li></ul>", ""), ("<div class='comment-list'>" + COMMENT + "</div>", ""), ("</i></b></span><p>x &amp; y</p>", "\nx & y"),
+]
+
+
+def test_extraction_of_generated_pages():
+    """The article is known before the page is put together around it."""
+    draw = random.Random(5)
+    for layout, (extra, more), name in itertools.product(LAYOUTS, INSIDE, ("article", "main", "div role='main'")):
+        before, after = (draw.sample(AROUND, draw.randrange(5)) for _ in range(2))
+        page = "".join(before) + layout.format(f"<{name}>{ARTICLE}{extra}</{name.split()[0]}>") + "".join(after)
+        assert extraction.main_text(f"<html><body>{page}</body></html>") == BODY + more, page
+
+
+def test_extraction_lets_the_clusters_choose_among_articles():
+    teasers = "".join(f"<article><h3><a href='/{i}'>Title {i}</a></h3><a href='/{i}'>more</a></article>" for i in range(5))
+    assert extraction.main_text(f"<div>{teasers}</div><article>{ARTICLE}</article><div>{teasers}</div>") == BODY
+    assert extraction.main_text(f"<div>{teasers}</div>").split("\n")[:2] == ["Title 0", "more"]  # all alike: all hold
+    lines, containers = extraction.page_lines(f"<article>{ARTICLE}</article><div><p>a</p><p>b</p></div>")
+    assert extraction.upper_cluster(lines).tolist() == [True] * 8 + [False] * 2 and extraction.content_regions(lines, containers) == {1}
+
+
+@pytest.mark.parametrize("piece", ["<a ", "</b>", "<!--", "<a b='", "<div><b></i>", "&", "<![CDATA[", "</"])
+def test_extraction_of_a_hostile_page_takes_linear_time(piece):
+    start = time.time()
+    for end in ("", ">"):
+        text = extraction.main_text(f"<article>{ARTICLE}</article>" + piece * ((1 << 20) // len(piece)) + end)
+        assert text.startswith(BODY[:40])
+    assert time.time() - start < 20
+
+
+def test_extraction_of_empty_table_repeated_rows_and_clashing_columns(spark):
+    kind = "page_id bigint, url string, html string, text string, n_chars string"
+    assert extraction.extracted_pages(spark.createDataFrame([], kind)).count() == 0
+    rows = [(1, "u", "<p>a</p>", "x", "y")] * 3 + [(None, None, None, None, None)]
+    got = sorted((tuple(r) for r in extraction.extracted_pages(spark.createDataFrame(rows, kind)).collect()), key=str)
+    assert got == [(1, "u", "a", 1)] * 3 + [(None, None, "", 0)]
+
+
 def test_hosts(spark):
     rows = [
         (1, "http://a.Example.net/en/x?y", None), (2, "https://b.net/p#t", ""), (3, "http://hub.info/", "<a href='http://b.net/1'> <a href=\"//B.net/2\">"),
