@@ -138,7 +138,7 @@ def embedding_links(reps: DataFrame, cosine: float = COSINE, fit_rows: int = FIT
                     "probes": book.probes(own, far, radius * min(1.0, reach / width**0.5) if reach else radius),
                 })
 
-    kind = "rep bigint, copies bigint, label int, width int, own int, codes binary, lost double, raw binary, probes array<int>"
+    kind = f"rep bigint, copies bigint, label {reps.schema['label'].dataType.simpleString()}, width int, own int, codes binary, lost double, raw binary, probes array<int>"
     coded = stage(reps.select("rep", "copies", "label", "width", "embedding").mapInPandas(encode, kind), "codes")
     where = ["label", "width", "list"]
     sizes = coded.groupBy("label", "width", F.col("own").alias("list")).agg(F.count("*").alias("entries"))
@@ -191,12 +191,12 @@ def embedding_links(reps: DataFrame, cosine: float = COSINE, fit_rows: int = FIT
 def near_embeddings(vectors: DataFrame, cosine: float = COSINE, **options) -> DataFrame:
     """Per row of ``vectors`` (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
-    Only vectors of one (not null) label and one width are compared. Vectors that are null, empty, zero or hold null or
+    Only vectors of one (not null) label, of whatever type, and one width are compared. Vectors that are null, empty, zero or hold null or
     non-finite components link with nothing, as do those without a label. Equal vectors of a label are one node with a
     number of copies, linked to each other. A null vec_id takes part as a vector but is never a component's name; repeated rows
     are vectors of their own.
     """
-    given = vectors.select("vec_id", "embedding", F.col("label").cast("int").alias("label"))
+    given = vectors.select("vec_id", "embedding", "label")
     valid = given.where(usable() & F.col("label").isNotNull()).withColumn("width", F.size("embedding"))
     distinct = valid.groupBy("label", "width", "embedding").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"))
     reps = stage(distinct.withColumn("rep", F.monotonically_increasing_id()), "reps")

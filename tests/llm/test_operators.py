@@ -1,5 +1,6 @@
 """The training-data operators against brute force on small tables, with nulls, empty texts, ties, repeats and clashing columns."""
 import collections
+import datetime
 import hashlib
 import itertools
 import math
@@ -291,6 +292,14 @@ def test_embeddings(spark):
     assert pq.near_embeddings(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind, labels", [("double", [1.2, 1.7, 1.2, None]), ("string", ["a", "b", "a", None]), ("date", [datetime.date(2020, 1, d) for d in (1, 2, 1)] + [None])])
+def test_embedding_labels_are_compared_as_they_are(spark, kind, labels):
+    rows = [(i, [1.0, 0.001 * i], label) for i, label in enumerate(labels)] + [(0, [1.0, 0.0], labels[0]), (None, [1.0, 0.003], labels[0])]
+    got = pq.near_embeddings(spark.createDataFrame(rows, f"vec_id bigint, embedding array<double>, label {kind}")).collect()
+    found = sorted((r.vec_id if r.vec_id is not None else -1, r.n_links, r.component_id) for r in got)
+    assert found == [(-1, 3, 0), (0, 3, 0), (0, 3, 0), (1, 0, 1), (2, 3, 0), (3, 0, 3)]
+
+
 def brute_backoff(texts, order=3, least=2):
     bodies = [GAP.findall(fold(t)) for t in texts]
     counts = collections.Counter(tuple(b[i:i + n]) for b in bodies for n in range(1, order + 1) for i in range(len(b) - n + 1))
@@ -521,18 +530,79 @@ def test_licenses(spark):
     assert licenses.license_scan(frame.limit(0), F.col("p")).count() == 0
 
 
-def test_license_prefix_loses_nothing(texts):
-    frequencies = np.zeros(licenses.BUCKETS, np.int64)
+def license_matcher(texts):
+    slots = licenses.template_slots(licenses.TEMPLATES)
+    frequencies = np.zeros(licenses.BUCKETS + len(slots), np.int64)
     for t in texts:
-        for b in {licenses.bucket(w) for w in decontamination.terms((t or "").encode())}:
+        for b in {slots.get(w, licenses.bucket(w)) for w in decontamination.terms((t or "").encode())}:
             frequencies[b] += 1
-    matcher = licenses.Matcher(licenses.TEMPLATES, frequencies, len(texts), 0.8)
+    return licenses.Matcher(licenses.TEMPLATES, frequencies, len(texts), 0.8)
+
+
+def test_license_prefix_loses_nothing(texts):
+    matcher, matcher_all = license_matcher(texts), license_matcher(texts)
     rng = random.Random(9)
     for _, text in licenses.TEMPLATES:
         words = decontamination.terms(text.encode())
         for _ in range(20):
             some = [w for w in words if rng.random() < 0.85] + [b"w1"] * rng.randrange(3)
             found = matcher.best(some)
-            matcher_all = licenses.Matcher(licenses.TEMPLATES, frequencies, len(texts), 0.8)
-            matcher_all.prefix = set(some)
+            matcher_all.prefix = dict.fromkeys(some, ())
             assert found == matcher_all.best(some)
+
+
+
+def brute_cosine(held, documents, template, words):
+    """Cosine by the formula, with document frequencies counted word by word."""
+
+    def vector(some):
+        return {w: (1 + math.log(n)) * (math.log((1 + documents) / (1 + held[w])) + 1) for w, n in collections.Counter(some).items()}
+
+    a, b = vector(WORD.findall(fold(template))), vector(words)
+    return sum(a[w] * b.get(w, 0) for w in a) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+
+
+def test_license_windows_are_those_of_brute_force(texts):
+    rng = random.Random(12)
+    sets = [set(WORD.findall(fold(t))) for t in texts]
+    for name, template in licenses.TEMPLATES[::4]:
+        words = WORD.findall(fold(template))
+        changed = [w if rng.random() < 0.93 else "w2" for w in words]
+        body = [f"w{rng.randrange(30)}" for _ in range(60)]
+        body = body[:25] + changed + body[25:40] + words + body[40:]
+        text = "".join(w + rng.choice(["\n", " ", " * "]) for w in body)
+        matcher = license_matcher([*texts, text])
+        held = collections.Counter(w for t in [*sets, set(body)] for w in t)
+        best = max(brute_cosine(held, len(sets) + 1, t, body[i:i + m]) for _, t in licenses.TEMPLATES for m in [len(WORD.findall(fold(t)))] for i in range(len(body) - m + 1))
+        score, found, share = matcher.scan(text.encode())
+        assert found == name and abs(score - 1) < 1e-6 and abs(best - 1) < 1e-6
+        whole = matcher.best([w.encode() for w in body])[1]
+        assert len(words) / len(body) - 1e-9 <= share <= (1 if whole else (2 * len(words) + 20) / len(body)) + 1e-9
+
+
+GPL_HEADER = """\
+# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+"""
+
+
+def test_wrapped_headers_licence_files_and_inheritance(spark, texts):
+    """Inheritance is compared with a walk up the directories."""
+    mit = next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 300)
+    file = "MIT License\n\nCopyright (c) 2020 Somebody\n\n" + re.sub(r"((?:\S+ ){9})", r"\1\n", mit) + "\n\nThe above copyright notice shall be kept."
+    long = "some words of code here\n" * 40_000
+    rows = [("p/q/a.py", GPL_HEADER + "import os\n" * 50), ("p/COPYING", file), ("p/q/r/s/b.py", "nothing"), ("r/LICENSE", GPL_HEADER), ("r/LICENCE.md", file), ("r/x/y.py", "no"),
+            ("r/x/long.py", long + GPL_HEADER + long), ("top.py", "no"), (None, GPL_HEADER), ("hot/COPYING", file)] + [(f"hot/{i}", "no") for i in range(200)]
+    rows += [("p/q/r/s/b.py", "nothing")] * 2
+    frame = spark.createDataFrame([(i, t, p) for i, (p, t) in enumerate(rows)], "doc_id bigint, text string, p string")
+    extra = frame.select("*", F.lit(1).alias("folder"), F.lit(2).alias("salt"), F.lit(3).alias("score"))
+    got = {r.doc_id: (r.license, r.basis) for r in licenses.license_scan(extra, F.col("p")).collect()}
+    assert got[0] == ("GPL-3.0", "own") and got[1] == ("MIT", "file") and got[6] == ("GPL-3.0", "own") and got[8] == ("GPL-3.0", "file")
+    given = {"p": "MIT", "hot": "MIT", "r": min("GPL-3.0", "MIT")}
+    for i, (path, text) in enumerate(rows):
+        if text in ("no", "nothing"):
+            above = path.split("/")[:-1]
+            walk = [given["/".join(above[:n])] for n in range(len(above), 0, -1) if "/".join(above[:n]) in given]
+            assert got[i] == ((walk[0], "inherited") if walk else (None, "none")), path
