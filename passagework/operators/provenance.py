@@ -185,16 +185,44 @@ def diff_sources(existing: DataFrame, files: DataFrame) -> DataFrame:
     return both.select(F.coalesce("old.uri", "now.uri").alias("uri"), state.alias("state"))
 
 
-def stale_chunks(existing: DataFrame, current: DataFrame) -> DataFrame:
+def chunk_digests(chunks: DataFrame) -> DataFrame:
+    """(document_id, extraction_config_hash, chunks, digest) per document and config.
+
+    The digest is two sums of 64-bit hashes of index and content, so it does not depend on the order of rows, is summed before the
+    exchange, and digests of disjoint parts of a document can be added. Two equal digests of different chunks are as likely as
+    two equal 128-bit hashes.
+    """
+    def summed(seed: int):
+        hashed = F.xxhash64(F.lit(seed), "chunk_index", F.col("content").isNull(), "content")
+        return F.sum(hashed.cast("decimal(20,0)"))
+
+    return chunks.groupBy("document_id", "extraction_config_hash").agg(
+        F.count(F.lit(1)).alias("chunks"), F.struct(summed(1).alias("first"), summed(2).alias("second")).alias("digest")
+    )
+
+
+def differing_documents(digests: DataFrame, current: DataFrame) -> DataFrame:
+    """(document_id, extraction_config_hash) of ``current`` chunks whose digest is not among the stored ``digests``."""
+    columns = ["document_id", "extraction_config_hash", "chunks", "digest"]
+    return chunk_digests(current).join(digests.select(*columns), columns, "left_anti").select(*columns[:2])
+
+
+def stale_chunks(existing: DataFrame, current: DataFrame, digests: DataFrame | None = None) -> DataFrame:
     """Stored chunk keys whose source now gives another text (``changed``) or no such chunk any more (``removed``).
 
-    Only documents present in ``current`` are judged. Texts are compared by hash, so no text is shuffled.
+    Only documents present in ``current`` are judged. Texts are compared by hash, so no text is shuffled. With the stored chunks'
+    ``digests`` (of ``chunk_digests``, kept when they were written) only chunks of documents whose digests differ are hashed and compared.
     """
     def hashed(df: DataFrame, name: str) -> DataFrame:
         return df.select(*CHUNK_KEY, F.sha2("content", 256).alias(name))
 
-    runs = current.select("document_id", "extraction_config_hash").distinct()
-    stored = hashed(existing, "stored").join(runs, ["document_id", "extraction_config_hash"], "left_semi")
+    by = ["document_id", "extraction_config_hash"]
+    if digests is None:
+        runs = current.select(*by).distinct()
+    else:
+        runs = differing_documents(digests, current)
+        current = current.join(runs, by, "left_semi")
+    stored = hashed(existing.join(runs, by, "left_semi"), "stored")
     both = stored.join(hashed(current, "fresh"), CHUNK_KEY, "left")
     state = F.when(F.col("fresh").isNull(), "removed").otherwise("changed")
     return both.filter(~F.col("stored").eqNullSafe(F.col("fresh"))).select(*CHUNK_KEY, state.alias("state"))

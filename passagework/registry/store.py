@@ -11,6 +11,7 @@ from passagework.functions.text import join_ordered
 from passagework.operators import chunking, embedding, ingest, provenance, retrieval
 from passagework.registry.base import DOC_PAGES_SQL, document_pages, load, query, sql_chunk_tables, sql_hashed_topk
 from passagework.registry.ingest import HANDLERS, PAGES_SQL, WITH_HTML, document_files
+from passagework.plans.stage import stage
 from passagework.session import scratch_path
 from passagework.sources import files, markup, tables
 
@@ -286,18 +287,26 @@ def source_diff(spark, folder):
     return provenance.diff_sources(stored_documents(spark, folder), _facts(incoming))
 
 
-@query(
-    "stale_chunks",
-    f"""WITH {VERSIONS_SQL}
+STALE_SQL = f"""WITH {VERSIONS_SQL}
 SELECT n.document_id, n.piece_no AS chunk_index, 'one' AS extraction_config_hash,
  CASE WHEN o.text IS NULL THEN 'removed' ELSE 'changed' END AS state
-FROM n_ch n LEFT JOIN o_ch o ON n.document_id = o.document_id AND n.piece_no = o.piece_no WHERE n.text IS DISTINCT FROM o.text""",
-)
+FROM n_ch n LEFT JOIN o_ch o ON n.document_id = o.document_id AND n.piece_no = o.piece_no WHERE n.text IS DISTINCT FROM o.text"""
+
+
+@query("stale_chunks", STALE_SQL)
 def stale_chunks(spark, folder):
     """The store holds the longer German texts; the sources are the original ones."""
     return provenance.stale_chunks(chunk_rows(spark, folder, True, "one"), chunk_rows(spark, folder, False, "one"))
 
 
+@query("stale_by_digest", STALE_SQL)
+def stale_by_digest(spark, folder):
+    """As ``stale_chunks``, with chunks and their digests as they were written; equal documents are told by digest."""
+    stored = stage(chunk_rows(spark, folder, True, "one"), "stored")
+    digests = stage(provenance.chunk_digests(stored), "digests")
+    return provenance.stale_chunks(stored, stage(chunk_rows(spark, folder, False, "one"), "current"), digests)
+
+
 @query(
     "config_inventory",
     f"""WITH {VERSIONS_SQL}, u AS (SELECT 'one' AS extraction_config_hash, * FROM o_ch UNION ALL SELECT 'two', * FROM n_ch)

@@ -45,6 +45,23 @@ def test_second_ingest_inserts_nothing_and_leaves_stale_text(spark):
     assert {(r.chunk_index, r.state) for r in P.stale_chunks(after, again).collect()} == {(0, "changed"), (2, "removed")}
 
 
+def test_digests_leave_out_equal_documents_only(spark):
+    stored = [("same", 0, "c", "a"), ("same", 1, "c", None), ("swap", 0, "c", "a"), ("swap", 1, "c", "b"), ("more", 0, "c", "a"), ("less", 0, "c", "a"), ("less", 1, "c", "b"),
+              ("gone", 0, "c", "a"), ("null", 0, "c", None), ("other", 0, "c", "a"), ("other", 0, "d", "a")]
+    now = [("same", 1, "c", None), ("same", 0, "c", "a"), ("swap", 0, "c", "b"), ("swap", 1, "c", "a"), ("more", 0, "c", "a"), ("more", 1, "c", "b"), ("less", 0, "c", "a"),
+           ("null", 0, "c", ""), ("other", 0, "c", "a"), ("other", 0, "d", "x"), (None, 0, "c", "a")]
+    before, after = spark.createDataFrame(stored, KEYED), spark.createDataFrame(now, KEYED)
+    digests = P.chunk_digests(before)
+    differing = {tuple(r) for r in P.differing_documents(digests, after).collect()}
+    assert differing == {("swap", "c"), ("more", "c"), ("less", "c"), ("null", "c"), ("other", "d"), (None, "c")}
+    plain, pruned = (sorted(map(tuple, P.stale_chunks(before, after, d).collect())) for d in (None, digests))
+    assert plain == pruned and len(plain) == 5
+    parts = [P.chunk_digests(before.where(f"chunk_index = {i}")).where("document_id = 'swap'").first().digest for i in (0, 1)]
+    whole = digests.where("document_id = 'swap'").first().digest
+    assert [a + b for a, b in zip(*parts)] == list(whole)
+    assert P.stale_chunks(before, after.limit(0), digests).count() == 0 and P.stale_chunks(before, after, digests.limit(0)).count() == 5
+
+
 def test_first_of_repeated_keys_wins_also_when_hot(spark):
     batch = spark.range(30_000).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("document_id"),
