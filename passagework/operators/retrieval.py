@@ -14,6 +14,7 @@ from passagework.functions.metadata import page_number_of
 from passagework.plans.checks import first_reason, split_on_reason
 from passagework.plans.nearest import (
     BLOCK_BYTES,
+    CELL_ROWS,
     MAX_BROADCAST_HITS,
     DenseVectors,
     SparseCounts,
@@ -125,24 +126,57 @@ def pivots(chunks: DataFrame, lists: int, keys: list[str] = CHUNK_KEYS) -> np.nd
     return units[np.sort(np.unique(units, axis=0, return_index=True)[1])]
 
 
-def _lists(rows: DataFrame, centres: np.ndarray, probes: int, carry: list[str]) -> DataFrame:
-    """``carry`` and ``list_no`` of the ``probes`` nearest pivots of every row, written once; ties go to the smaller number."""
+def _products(vectors: pd.Series, centres: np.ndarray) -> Iterator[np.ndarray]:
+    """Rounded products of the vectors with all pivots, some rows at a time; undefined ones come last."""
+    for low in range(0, len(vectors), 1024):
+        products = np.round(np.stack(vectors.iloc[low : low + 1024].to_numpy()).astype(np.float64) @ centres.T, 9)
+        yield np.where(np.isnan(products), -np.inf, products)
+
+
+def _nearest_list(rows: DataFrame, centres: np.ndarray, width: int, carry: list[str]) -> DataFrame:
+    """``carry``, the number of the nearest pivot within its bucket of ``width`` (``list_no``) and the bucket; ties go to the smaller number."""
     shared = rows.sparkSession.sparkContext.broadcast(centres)
 
-    @F.pandas_udf("array<int>")
-    def nearest_lists(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("int")
+    def nearest_list(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for vectors in batches:
+            if not len(shared.value):
+                yield pd.Series(np.zeros(len(vectors), np.int32))
+                continue
+            yield pd.Series(np.concatenate([p.argmax(1) for p in _products(vectors, shared.value)] or [np.empty(0)]).astype(np.int32))
+
+    held = stage(rows.select(*carry, nearest_list("embedding").alias("at")), "lists")
+    return held.select(*carry, F.floor(F.col("at") / width).cast("int").alias("bucket"), (F.col("at") % width).alias("list_no"))
+
+
+def _probed(products: np.ndarray, probes: int) -> np.ndarray:
+    """rows x pivots: the ``probes`` nearest pivots of every row; ties go to the smaller number."""
+    probes = min(probes, products.shape[1])
+    bar = np.partition(products, -probes, axis=1)[:, -probes, None]
+    above, tied = products > bar, products == bar
+    return above | (tied & (tied.cumsum(1) <= probes - above.sum(1, keepdims=True)))
+
+
+def _probed_lists(rows: DataFrame, centres: np.ndarray, width: int, probes: int, carry: list[str]) -> DataFrame:
+    """``carry`` of every row once for each bucket of ``width`` lists in which it probes any, with the bitmap of those lists."""
+    shared = rows.sparkSession.sparkContext.broadcast(centres)
+
+    @F.pandas_udf("array<struct<bucket:int,probed:binary>>")
+    def bitmaps(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for vectors in batches:
-            found = []
             if not len(shared.value):
-                yield pd.Series([[0]] * len(vectors), dtype=object)
+                yield pd.Series([[{"bucket": 0, "probed": np.packbits([True] + [False] * (width - 1)).tobytes()}]] * len(vectors), dtype=object)
                 continue
-            for low in range(0, len(vectors), 1024):
-                products = np.stack(vectors.iloc[low : low + 1024].to_numpy()).astype(np.float64) @ shared.value.T
-                found.extend(np.argsort(-np.round(products, 9), axis=1, kind="stable")[:, :probes].astype(np.int32))
+            found = []
+            for products in _products(vectors, shared.value):
+                wanted = _probed(products, probes)
+                wanted = np.pad(wanted, ((0, 0), (0, -wanted.shape[1] % width))).reshape(len(wanted), -1, width)
+                packed, used = np.packbits(wanted, axis=2), wanted.any(2)
+                found += [[{"bucket": int(b), "probed": packed[i, b].tobytes()} for b in np.flatnonzero(used[i])] for i in range(len(wanted))]
             yield pd.Series(found, dtype=object)
 
-    held = rows.select(*carry, nearest_lists("embedding").alias("__lists"))
-    return stage(held, "lists").select(*carry, F.explode("__lists").alias("list_no"))
+    held = stage(rows.select(*carry, bitmaps("embedding").alias("__buckets")), "lists")
+    return held.select(*carry, F.explode("__buckets").alias("__b")).select(*carry, "__b.bucket", "__b.probed")
 
 
 def approx_search(
@@ -161,14 +195,19 @@ def approx_search(
     Fixed ``probes`` make the work per query grow with the root only, at the price of recall; measure with
     :func:`recall_against`. Within its candidates the ranking is exact; lists of any size are cut into bounded cells. Zero
     vectors fall into the first list. No chunks give no rows. Only the pivots reach the driver and the workers: 250,000 of
-    them for a billion chunks.
+    them for a billion chunks. Neighbouring lists share a bucket of about ``BLOCK_BYTES``, and a query goes to a bucket once,
+    with a bitmap of the lists it probes there, so the shuffle grows with the buckets and not with the probed lists.
     """
-    lists = lists or 8 * math.isqrt(max(chunks.count() - 1, 0)) + 8
+    count = chunks.count()
+    lists = lists or 8 * math.isqrt(max(count - 1, 0)) + 8
     centres = pivots(chunks, lists, keys)
     probes = probes or max(1, len(centres) * PROBED // 100)
-    q = _lists(_with_limit(queries, k), centres, probes, ["query_id", "top_k", "embedding"])
-    c = _lists(chunks, centres, 1, [*keys, "embedding"])
-    return bucketed_nearest(q, c, ["list_no"], keys)
+    cell = min(CELL_ROWS * 4, max(512, BLOCK_BYTES // (8 * max(1, centres.shape[1]))))
+    buckets = max(-(-count // cell), queries.sparkSession.sparkContext.defaultParallelism)
+    width = max(1, -(-len(centres) // buckets))
+    q = _probed_lists(_with_limit(queries, k), centres, width, probes, ["query_id", "top_k", "embedding"])
+    c = _nearest_list(chunks, centres, width, [*keys, "embedding"])
+    return bucketed_nearest(q, c, ["bucket"], keys, query_cell=cell, chunk_cell=cell, lists=("probed", "list_no"))
 
 
 def recall_against(exact: DataFrame, found: DataFrame, keys: list[str] = CHUNK_KEYS) -> DataFrame:

@@ -199,3 +199,24 @@ def test_posting_heads_skip_blocks_without_shared_buckets(spark):
             scores.append((-round(product / np.sqrt(sum(w * w for w in weights) * sum(w * w for w in mine.values())), 9), i))
         assert [got[q, r + 1] for r in range(3)] == [(i, -s) for s, i in sorted(scores)[:3]]
     assert pairs.skipped > 0.5 * pairs.pairs
+
+
+def test_a_query_is_shuffled_once_a_bucket_not_once_a_list(spark):
+    rng = np.random.default_rng(8)
+    c, q = rng.normal(size=(900, 8)), rng.normal(size=(30, 8))
+    qs, cs = frame(spark, "q", q), frame(spark, "c", c)
+    centres, probes = retrieval.pivots(cs, 248), 111
+    asked = qs.withColumn("top_k", F.lit(5))
+    sent = retrieval._probed_lists(asked, centres, 31, probes, ["query_id"]).collect()
+    assert len(sent) <= 30 * 8 < 30 * probes / 10
+    got = {i: set() for i in range(30)}
+    for r in sent:
+        got[r.query_id] |= set(r.bucket * 31 + np.flatnonzero(np.unpackbits(np.frombuffer(r.probed, np.uint8))))
+    q32, c32 = q.astype(np.float32).astype(float), c.astype(np.float32).astype(float)
+    near = np.argsort(-np.round(q32 @ centres.T, 9), axis=1, kind="stable")[:, :probes]
+    assert got == {i: set(near[i].tolist()) for i in range(30)}
+    home = np.round(c32 @ centres.T, 9).argmax(1)
+    cosine = q32 @ c32.T / np.linalg.norm(q32, axis=1)[:, None] / np.linalg.norm(c32, axis=1)
+    open_to = np.array([np.isin(home, near[i]) for i in range(30)])
+    wanted = {i: sorted(np.flatnonzero(open_to[i]).tolist(), key=lambda j: (-round(cosine[i, j], 9), j))[:5] for i in range(30)}
+    assert ids(retrieval.approx_search(qs, cs, 5, lists=248, probes=probes)) == wanted
