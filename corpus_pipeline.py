@@ -28,7 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near copies share 0.8 of their 5-word shingles; the 3 bits of ``op7_simhash`` are that query's own contract."""
+    """Near copies share 0.8 of their 5-word shingles: SimHash fingerprints and MinHash bands bring texts together, an exact check follows."""
     _prepared(spark)
     return copies.keep_one(docs)
 

@@ -1,7 +1,9 @@
-"""Near copies by exact Jaccard similarity of word shingles, candidates from MinHash bands.
+"""Near copies by exact Jaccard similarity of word shingles, candidates from SimHash fingerprints and MinHash bands.
 
 A text is the set of its 5-word shingles (shorter texts are one shingle). Each of 24 bands keys it by five minima of the
 shingles' hashes; a pair of similarity 0.8 shares no band with probability (1 - 0.8^5)^24 = 7e-5, a closer pair with less.
+The texts whose SimHash fingerprints (of the same shingles) hang together within three bits share one more key, found by the
+covering tables of ``simhash``; few pairs at 0.8 are that near, so the bands stand beside it.
 Texts of one key are compared exactly, so nothing is linked that is not similar.
 """
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagework.llm.components import connected_components
+from passagework.llm.simhash import near_fingerprints, with_fingerprint
 from passagework.llm.words import blank_separated
 from passagework.plans.stage import stage
 
@@ -108,6 +111,14 @@ def similar_links(docs: DataFrame, keyed: DataFrame, text: str = "text", least:
     return linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def fingerprint_keys(coded: DataFrame) -> DataFrame:
+    """``node, key``: one key for all texts whose ``fingerprint`` links, over any number of links within the radius of ``simhash``."""
+    codes = stage(coded.select(F.col("fingerprint").alias("code")).distinct(), "codes")
+    joined = stage(connected_components(near_fingerprints(codes)), "near-codes").select(F.col("node").alias("fingerprint"), "component")
+    group = F.xxhash64(F.lit("simhash"), F.coalesce("component", "fingerprint"))
+    return coded.select("node", "fingerprint").distinct().join(joined, "fingerprint", "left").select("node", group.alias("key"))
+
+
 def copy_groups(docs: DataFrame, least: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """``doc_id, node, component`` (of nodes) ``, component_id`` (the smallest id reachable over similar pairs), one row per row of ``docs``; a component without ids has none."""
 
@@ -116,9 +127,11 @@ def copy_groups(docs: DataFrame, least: float = SIMILARITY, block: int = BLOCK)
         for batch in batches:
             yield pd.Series([bands(t) for t in batch], dtype=object)
 
-    coded = stage(docs.select("doc_id", text_node("text").alias("node"), keys(F.col("text").cast("binary")).alias("keys")), "bands")
+    printed = with_fingerprint(docs.select("doc_id", "text"), width=WIDTH)
+    coded = stage(printed.select("doc_id", text_node("text").alias("node"), keys(F.col("text").cast("binary")).alias("keys"), "fingerprint"), "bands")
     nodes = stage(coded.groupBy("node").agg(F.min("doc_id").alias("first_id")), "nodes")
-    keyed = stage(coded.select("node", F.explode("keys").alias("key")).distinct(), "keyed")
+    banded = coded.select("node", F.explode("keys").alias("key"))
+    keyed = stage(banded.unionByName(fingerprint_keys(coded)).distinct(), "keyed")
     joined = stage(connected_components(similar_links(docs, keyed, least=least, block=block)), "groups")
     joined = joined.withColumnRenamed("node", "member")
     grouped = nodes.join(joined, nodes.node == joined.member, "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))

@@ -76,6 +76,26 @@ def test_pipeline_over_odd_rows(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_near_copies_are_brought_together_by_fingerprints(spark, monkeypatch):
+    """The SimHash step runs in its stage, and its keys alone bring near copies to the exact check; unlike texts stay."""
+    import corpus_pipeline
+    from passagework.llm import copies, simhash
+
+    base = [" ".join(f"v{n}w{i}" for i in range(400)) for n in range(3)]
+    texts = [base[0], base[0] + " tail", base[1], base[2], base[2], None]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], spark.read.parquet(f"{FOLDER}/documents.parquet").schema)
+    coded = simhash.with_fingerprint(docs, width=copies.WIDTH).withColumn("node", copies.text_node("text"))
+    keyed = copies.fingerprint_keys(coded.select("node", "fingerprint")).distinct()
+    codes = [simhash.fingerprint(t.encode(), copies.WIDTH) for t in texts[:2]]
+    assert ((codes[0] ^ codes[1]) & (1 << 64) - 1).bit_count() <= simhash.RADIUS
+    nodes = {r.doc_id: r.node for r in coded.collect()}
+    assert [(r.a, r.b) for r in copies.similar_links(docs, keyed).collect()] == [tuple(sorted((nodes[0], nodes[1])))]
+    calls = []
+    monkeypatch.setattr(copies, "near_fingerprints", lambda *a: calls.append(a) or simhash.near_fingerprints(*a))
+    kept = corpus_pipeline.drop_near_copies(spark, docs, FOLDER)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3, 5] and calls
+
+
 def test_entry_without_the_subpackage(monkeypatch):
     import __spark_entry__ as entry
 
