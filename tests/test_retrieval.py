@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -220,3 +221,27 @@ def test_a_query_is_shuffled_once_a_bucket_not_once_a_list(spark):
     open_to = np.array([np.isin(home, near[i]) for i in range(30)])
     wanted = {i: sorted(np.flatnonzero(open_to[i]).tolist(), key=lambda j: (-round(cosine[i, j], 9), j))[:5] for i in range(30)}
     assert ids(retrieval.approx_search(qs, cs, 5, lists=248, probes=probes)) == wanted
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2", "inner"])
+def test_single_precision_only_preselects_pairs(metric):
+    rng = np.random.default_rng(9)
+    q, c = rng.normal(size=(40, 16)), rng.normal(size=(700, 16))
+    c[::5], c[7] = c[3] + rng.normal(size=16) * 1e-7, 0
+    space = nearest_plan.DenseVectors(metric)
+    every = np.indices((40, 700)).reshape(2, -1)
+    final = np.round(space.pair_ranks(q, c, *every), 9).reshape(40, 700)
+    least = np.sort(final, axis=1)[:, -5]
+    found = set(zip(*(x.tolist() for x in space.near_pairs(q, c, least))))
+    assert found >= set(zip(*(x.tolist() for x in np.nonzero(final >= least[:, None])))) and len(found) < 40 * 700 / 4
+    assert space.near_pairs(q * 1e25, c * 1e25, least) is None or metric == "cosine"
+
+
+def test_counts_keep_long_keys_whole(spark):
+    from pyspark.sql import types as T
+
+    schema = T.StructType().add("query_id", "long").add("top_k", "int").add("k", "string").add(nearest_plan.RANK, "double").add("__pairs", "long").add("__skipped", "long")
+    rows = pd.DataFrame({"query_id": [2**60 + 1], "top_k": np.array([3], np.int32), "k": ["x"], nearest_plan.RANK: [0.5]})
+    for found in ([rows], []):
+        got = [tuple(r) for r in spark.createDataFrame([(1,)], "i int").groupBy("i").applyInPandas(lambda _, f=found: nearest_plan._with_counts(f, schema, 7, 2), schema).collect()]
+        assert got == [(2**60 + 1, 3, "x", 0.5, None, None)] * len(found) + [(None, None, None, None, 7, 2)]
