@@ -240,7 +240,7 @@ def test_single_precision_only_preselects_pairs(metric):
 def test_counts_keep_long_keys_whole(spark):
     from pyspark.sql import types as T
 
-    schema = T.StructType().add("query_id", "long").add("top_k", "int").add("k", "string").add(nearest_plan.RANK, "double").add("__pairs", "long").add("__skipped", "long")
+    schema = T.StructType().add("query_id", "long").add("top_k", "integer").add("k", "string").add(nearest_plan.RANK, "double").add("__pairs", "long").add("__skipped", "long")
     rows = pd.DataFrame({"query_id": [2**60 + 1], "top_k": np.array([3], np.int32), "k": ["x"], nearest_plan.RANK: [0.5]})
     for found in ([rows], []):
         got = [tuple(r) for r in spark.createDataFrame([(1,)], "i int").groupBy("i").applyInPandas(lambda _, f=found: nearest_plan._with_counts(f, schema, 7, 2), schema).collect()]
