@@ -167,3 +167,20 @@ def test_numbering_before_the_rows_equals_numbering_after(spark):
     columns = ["document_id", "page_number", "other", "piece_no", "text", "start_index", "end_index", "token_count", "chunk_index"]
     known = lambda found: sorted((tuple(r[c] for c in columns) for r in found if r.document_id is not None))
     assert two.columns == columns and known(two.collect()) == known(one)
+
+
+def test_tokens_are_counted_in_bounded_batches(monkeypatch):
+    from types import SimpleNamespace
+
+    from passagework.functions import tokens
+
+    seen = []
+
+    def encode_batch(texts, add_special_tokens):
+        seen.append(sum(map(len, texts)))
+        return [SimpleNamespace(ids=t.split()) for t in texts]
+
+    texts = ["a b c"] * 500 + ["", "x " * 400] + ["d e"] * 7
+    monkeypatch.setattr(tokens, "ENCODED_CHARS", 100, raising=False)
+    assert tokens._sizes(SimpleNamespace(encode_batch=encode_batch), texts) == [len(t.split()) for t in texts]
+    assert max(seen) < 100 + 800 and sum(seen) == sum(map(len, texts)) and tokens._sizes(None, []) == []

@@ -243,5 +243,8 @@ def test_counts_keep_long_keys_whole(spark):
     schema = T.StructType().add("query_id", "long").add("top_k", "integer").add("k", "string").add(nearest_plan.RANK, "double").add("__pairs", "long").add("__skipped", "long")
     rows = pd.DataFrame({"query_id": [2**60 + 1], "top_k": np.array([3], np.int32), "k": ["x"], nearest_plan.RANK: [0.5]})
     for found in ([rows], []):
-        got = [tuple(r) for r in spark.createDataFrame([(1,)], "i int").groupBy("i").applyInPandas(lambda _, f=found: nearest_plan._with_counts(f, schema, 7, 2), schema).collect()]
+        def met(_, found=tuple(found)):
+            return nearest_plan._with_counts(found, schema, 7, 2)
+
+        got = [tuple(r) for r in spark.createDataFrame([(1,)], "i int").groupBy("i").applyInPandas(lambda pdf: met(pdf), schema).collect()]
         assert got == [(2**60 + 1, 3, "x", 0.5, None, None)] * len(found) + [(None, None, None, None, 7, 2)]
