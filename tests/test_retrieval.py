@@ -248,3 +248,22 @@ def test_counts_keep_long_keys_whole(spark):
 
         got = [tuple(r) for r in spark.createDataFrame([(1,)], "i int").groupBy("i").applyInPandas(lambda pdf: met(pdf), schema).collect()]
         assert got == [(2**60 + 1, 3, "x", 0.5, None, None)] * len(found) + [(None, None, None, None, 7, 2)]
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2", "inner"])
+def test_sampled_floors_hold_and_spare_pairs(spark, metric, monkeypatch):
+    """Every cell starts from the k-th best of the sample: nothing of the result lies below, and far blocks are left out."""
+    monkeypatch.setattr(nearest_plan, "CHUNK_ROWS", 64)
+    monkeypatch.setattr(nearest_plan, "SAMPLED", 8)
+    own = np.random.default_rng(11)
+    centres = own.normal(size=(20, 6)) * 10
+    c = np.repeat(centres, 64, axis=0) + own.normal(size=(1280, 6)) * 0.01
+    q = np.vstack([centres[3] + 0.01, centres[3] - 0.01, np.zeros(6)])
+    chunks, queries = frame(spark, "c", c).repartition(1), frame(spark, "q", q).withColumn("top_k", F.when(F.col("query_id") == 1, 2000).otherwise(4))
+    space = nearest_plan.DenseVectors(metric)
+    cells = 200  # many cells, few blocks in each
+    found = ids(nearest_plan.nearest(queries, chunks, ["document_id"], space, cells))
+    assert found == brute(q, c, [4, 2000, 4], metric)
+    near = queries.filter("query_id = 0")
+    pairs = nearest_plan.block_pairs(near, chunks, ["document_id"], space, cells).first()
+    assert pairs.skipped >= (15 if metric == "l2" else 3)
