@@ -177,3 +177,16 @@ def test_text_helpers(spark):
 def test_metadata_merge(spark):
     a, b = F.create_map(F.lit("k"), F.lit("1"), F.lit("a"), F.lit("2")), F.create_map(F.lit("k"), F.lit("3"))
     assert spark.range(1).select(metadata_text(merge_metadata(a, b))).first()[0] == '{"a":"2","k":"3"}'
+
+
+def test_table_rows_from_runs_of_cells(spark):
+    """Scattered, repeated, null and tabbed cells give what sorting single cells gives; whole rows are shuffled as one run."""
+    whole = [("a", r, c, f"t{r}-{c}") for r in range(3) for c in range(50)]
+    odd = [("b", 1, 2, "c"), ("b", 1, 0, "a"), ("b", 1, 1, "b"), ("b", 1, 0, "z"), ("b", 1, 1, "A"), ("b", 2, 0, "x\ty"), ("b", 2, 1, None), ("b", 2, 2, ""),
+           ("b", 2, 3, "end"), (None, 1, 0, "n"), (None, 1, 1, "m"), ("c", None, 0, "p"), ("c", None, 1, "q"), ("d", 1, None, "u"), ("d", 1, 0, "v"), ("e", 1, 0, None)]
+    cells = spark.createDataFrame(whole + odd, "key string, row_no int, cell_no int, text string").coalesce(1)
+    order = F.array_sort(F.collect_list(F.struct("cell_no", "text")))
+    plain = cells.groupBy("key", "row_no").agg(F.array_join(F.transform(order, lambda r: r["text"]), "\t").alias("text"))
+    assert sorted(map(str, P.table_row_text(cells, "key").collect())) == sorted(map(str, plain.collect()))
+    runs = P._cell_runs(cells.filter("key = 'a'"), "key").collect()
+    assert [(r["row_no"], r["first"], r["cells"]) for r in runs] == [(0, 0, 50), (1, 0, 50), (2, 0, 50)]
