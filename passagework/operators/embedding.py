@@ -68,9 +68,9 @@ def embed_chunks(
     def embed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         provider = provider_factory()
         for pdf in frames:
-            request = np.arange(len(pdf)) // size
-            vectors = [v for _, texts in pdf[text].groupby(request) for v in _answers(provider, texts.tolist())]
-            yield pdf.assign(embedding=vectors, embedding_model=model)
+            for low in range(0, len(pdf), size):  # a request at a time, so that no task holds the vectors of a whole batch
+                part = pdf.iloc[low : low + size]
+                yield part.assign(embedding=_answers(provider, part[text].tolist()), embedding_model=model)
 
     return chunks.mapInPandas(embed, schema)
 
@@ -78,7 +78,9 @@ def embed_chunks(
 # -- built-in provider: signed feature hashing of words (runs of letters and digits; A-Z are lower-cased) ------------
 
 WORD = regex.compile(r"[\p{L}\p{N}]+")
-_CACHE_LIMIT = 1_000_000
+#: Words that a worker remembers; characters of the texts whose words it holds at once.
+_CACHE_LIMIT = 1 << 17
+_SLICE_CHARS = 1 << 20
 
 
 def _hash_word(word: str) -> tuple[int, int]:
@@ -104,6 +106,18 @@ class _WordHashes(dict):
         return np.repeat(np.arange(len(found)), lengths), np.abs(signed) - 1, np.sign(signed)
 
 
+def _slices(texts: list[str | None]) -> Iterator[slice]:
+    """Runs of texts of about ``_SLICE_CHARS`` characters, of one text at least."""
+    low = held = 0
+    for at, t in enumerate(texts):
+        if at > low and held + len(t or "") > _SLICE_CHARS:
+            yield slice(low, at)
+            low, held = at, 0
+        held += len(t or "")
+    if len(texts) > low:
+        yield slice(low, len(texts))
+
+
 def hashing_provider(dim: int) -> Callable[[], Provider]:
     """Factory of a provider that needs no model: each word adds its sign to the dimension its hash selects."""
 
@@ -111,9 +125,11 @@ def hashing_provider(dim: int) -> Callable[[], Provider]:
         hashes = _WordHashes()
 
         def provide(texts: list[str]) -> list[tuple[int, list[float]]]:
-            rows, codes, signs = hashes.codes(texts)
-            sums = np.bincount(rows * dim + codes % dim, weights=signs, minlength=len(texts) * dim)
-            return list(enumerate(sums.reshape(len(texts), dim)))
+            sums = np.empty((len(texts), dim), np.float32)  # whole numbers below 2 ** 24, so exact
+            for part in _slices(texts):
+                rows, codes, signs = hashes.codes(texts[part])
+                sums[part] = np.bincount(rows * dim + codes % dim, weights=signs, minlength=(part.stop - part.start) * dim).reshape(-1, dim)
+            return list(enumerate(sums))
 
         return provide
 
@@ -133,13 +149,16 @@ def hashed_counts(rows: DataFrame, text: str, dim: int) -> DataFrame:
     def sparse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         hashes = _WordHashes()
         for texts in batches:
-            rows, codes, signs = hashes.codes(texts.tolist())
-            cells, place = np.unique(rows * dim + codes % dim, return_inverse=True)
-            weight = np.bincount(place, weights=signs, minlength=len(cells)).astype(np.int64)
-            cells, weight = cells[weight != 0], weight[weight != 0]
-            ends = np.searchsorted(cells, np.arange(1, len(texts)) * dim)
-            both = {"bucket": np.split(cells % dim, ends), "weight": np.split(weight, ends)}
-            yield pd.DataFrame(both).head(len(texts))
+            texts, both = texts.tolist(), {"bucket": [], "weight": []}
+            for part in _slices(texts):
+                rows, codes, signs = hashes.codes(texts[part])
+                cells, place = np.unique(rows * dim + codes % dim, return_inverse=True)
+                weight = np.bincount(place, weights=signs, minlength=len(cells)).astype(np.int64)
+                cells, weight = cells[weight != 0], weight[weight != 0]
+                ends = np.searchsorted(cells, np.arange(1, part.stop - part.start) * dim)
+                both["bucket"] += np.split(cells % dim, ends)
+                both["weight"] += np.split(weight, ends)
+            yield pd.DataFrame(both)
 
     return rows.withColumn("__s", sparse(F.col(text))).select("*", "__s.bucket", "__s.weight").drop("__s")
 

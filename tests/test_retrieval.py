@@ -267,3 +267,21 @@ def test_sampled_floors_hold_and_spare_pairs(spark, metric, monkeypatch):
     near = queries.filter("query_id = 0")
     pairs = nearest_plan.block_pairs(near, chunks, ["document_id"], space, cells).first()
     assert pairs.skipped >= (15 if metric == "l2" else 3)
+
+
+def test_hashing_holds_the_words_of_a_slice_of_texts(spark, monkeypatch):
+    """Texts are hashed some characters at a time, for the provider and for sparse counts, with the same result."""
+    texts = ["one two two", None, "", "three " * 40, "one", "ä ö ü Ä", "two two one one"] * 3
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string").coalesce(1)
+    whole = [v.tolist() for _, v in embedding.hashing_provider(16)()(texts)]
+    counts = sorted(embedding.hashed_counts(rows, "t", 64).collect())
+    held, codes = [], embedding._WordHashes.codes
+    monkeypatch.setattr(embedding, "_SLICE_CHARS", 30)
+    monkeypatch.setattr(embedding._WordHashes, "codes", lambda self, part: (held.append(part), codes(self, part))[1])
+    assert [v.tolist() for _, v in embedding.hashing_provider(16)()(texts)] == whole
+    assert sum(held, []) == texts and all(len(p) == 1 or sum(len(t or "") for t in p) <= 30 for p in held)
+    sizes = [len(p) for p in embedding._slices(texts) for p in [texts[p]]]
+    assert sum(sizes) == len(texts) and not list(embedding._slices([]))
+    for r in counts:
+        words = embedding.hashing_provider(64)()([r["t"]])[0][1]
+        assert dict(zip(r["bucket"], r["weight"])) == {b: int(w) for b, w in enumerate(words) if w}
