@@ -38,9 +38,11 @@ def stream_ingest(
     job = hashlib.md5(checkpoint.encode()).hexdigest()
 
     def write(rows: DataFrame, batch_id: int) -> None:
-        last = F.max_by("content", F.struct("arrived", F.sha2("content", 256))).alias("content")
-        once = stage(rows.groupBy("uri").agg(last), "arrived")
-        ingest_found(once, path, f"{job}-{batch_id}", handlers, run_params, provider_factory, dim, model, types, now)
+        once = stage(rows, "arrived")
+        if not once.groupBy("uri").count().filter("count > 1").isEmpty():  # only then contents are brought together by uri
+            last = F.max_by("content", F.struct("arrived", F.sha2("content", 256))).alias("content")
+            once = stage(once.groupBy("uri").agg(last), "latest")
+        ingest_found(once.select("uri", "content"), path, f"{job}-{batch_id}", handlers, run_params, provider_factory, dim, model, types, now)
 
     return (
         source.writeStream.foreachBatch(write)
