@@ -147,3 +147,41 @@ def test_ingest_asks_for_known_texts_only_once(spark, taken, tmp_path):
     take("2", {"a": "Same text.", "b": "Same text."}, (RUN, other), vectors=cache)
     assert ingest.stored_chunks(spark, path).count() == 4
     assert tables.read_committed(spark, cache, "vectors", vector_cache.VECTORS).count() == 1
+
+
+def test_a_large_folder_is_written_by_several_tasks(spark, tmp_path):
+    """Rows of one folder are cut by size, so no task sorts a whole bucket; a batch whose check fails does not count."""
+    rows = spark.range(60_000).select(F.sha2(F.col("id").cast("string"), 256).alias("text"), F.lit(1).alias("bucket")).repartition(6)
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "512k")
+    try:
+        assert tables.commit_batch(str(tmp_path), {"t": rows}, "b", {"t": ["bucket"]})
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    assert len(list((tmp_path / "t" / "batch=b" / "bucket=1").glob("*.parquet"))) > 1
+    assert tables.read_committed(spark, str(tmp_path), "t", "text string, bucket int").count() == 60_000
+
+    def refuse():
+        raise ValueError("refused")
+
+    with pytest.raises(ValueError, match="refused"):
+        tables.commit_batch(str(tmp_path), {"t": rows}, "c", {"t": ["bucket"]}, check=refuse)
+    assert tables.committed(spark, str(tmp_path))[0] == ["b"]
+
+
+def test_repeated_page_numbers_give_every_chunk_once(spark, tmp_path):
+    """A handler that numbers two pages alike: of the equal keys the smaller content is stored, as it is without repeats; a wrong width commits nothing."""
+    def twice(rows):
+        pages = markup.text_pages(rows)
+        return pages.unionByName(pages.withColumn("content", F.concat(F.lit("z"), "content")))
+
+    found = spark.createDataFrame([("a.txt", bytearray(b"first text")), ("b.txt", bytearray(b"other text"))], "uri string, content binary")
+    runs, now = spark.createDataFrame([RUN], RUN_COLUMNS), F.lit("2024-01-01").cast("timestamp")
+    for name, parse in (("plain", markup.text_pages), ("twice", twice)):
+        handler, path = files.Handler("H", "1", ("TEXT",), parse), str(tmp_path / name)
+        with pytest.raises(ValueError, match="embedding refused"):
+            ingest.ingest_found(found, path, "w", [handler], runs, embedding.hashing_provider(4), 8, "m", {"txt": "TEXT"}, now)
+        assert tables.committed(spark, path) == ([], 0)
+        report, _ = ingest.ingest_found(found, path, "x", [handler], runs, embedding.hashing_provider(8), 8, "m", {"txt": "TEXT"}, now)
+        assert sorted(r["content"] for r in ingest.stored_chunks(spark, path).collect()) == ["first text", "other text"]
+        assert sorted(r["inserted"] for r in report.collect()) == [1, 1]
