@@ -285,3 +285,23 @@ def test_hashing_holds_the_words_of_a_slice_of_texts(spark, monkeypatch):
     for r in counts:
         words = embedding.hashing_provider(64)()([r["t"]])[0][1]
         assert dict(zip(r["bucket"], r["weight"])) == {b: int(w) for b, w in enumerate(words) if w}
+
+
+def test_search_copies_no_side_for_every_part_of_the_other(spark, monkeypatch):
+    """Shuffled bytes follow the vectors, not the product of both sides' blocks."""
+    monkeypatch.setattr(nearest_plan, "CHUNK_ROWS", 100)
+    monkeypatch.setattr(nearest_plan, "QUERY_ROWS", 10)
+    own = np.random.default_rng(12)
+    c, q = own.normal(size=(4000, 64)), own.normal(size=(40, 64))
+    chunks, queries = frame(spark, "c", c).repartition(16), frame(spark, "q", q).repartition(2).withColumn("top_k", F.lit(3))
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = disk.getAllFiles()
+        return {f.getName(): f.length() for f in map(files.apply, range(files.size())) if f.getName().startswith("shuffle_")}
+
+    chunks, queries = nearest_plan.stage(chunks), nearest_plan.stage(queries)
+    before = shuffled()
+    found = ids(nearest_plan.nearest(queries, chunks, ["document_id"], block_bytes=2_600))
+    assert found == brute(q, c, [3] * 40, "cosine")
+    assert sum(size for name, size in shuffled().items() if name not in before) < 3 * 4 * (c.size + q.size)
