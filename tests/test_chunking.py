@@ -184,3 +184,15 @@ def test_tokens_are_counted_in_bounded_batches(monkeypatch):
     monkeypatch.setattr(tokens, "ENCODED_CHARS", 100, raising=False)
     assert tokens._sizes(SimpleNamespace(encode_batch=encode_batch), texts) == [len(t.split()) for t in texts]
     assert max(seen) < 100 + 800 and sum(seen) == sum(map(len, texts)) and tokens._sizes(None, []) == []
+
+
+def test_pieces_are_computed_once_a_page(spark):
+    """No filter before the rows of the pieces computes all pieces again."""
+    from pyspark.sql import functions as F
+
+    pages = spark.range(1).select(F.col("id").alias("document_id"), F.lit(1).alias("page_number"), F.expr("repeat('One two. ', 100 + id)").alias("content"))
+    chunks = chunking.recursive_chunks(pages, 64)
+    plan = chunks._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("arrays_zip") == 1 and chunks.count() == len(plain_chunks("One two. " * 100, 64, 24, len))
+    none = spark.createDataFrame([(1, [])], "id int, __packed array<struct<__pieces:struct<length:int,text:string>,__starts:int>>")
+    assert chunking._unpacked(none).count() == 0
