@@ -196,3 +196,27 @@ def test_pieces_are_computed_once_a_page(spark):
     assert plan.count("arrays_zip") == 1 and chunks.count() == len(plain_chunks("One two. " * 100, 64, 24, len))
     none = spark.createDataFrame([(1, [])], "id int, __packed array<struct<__pieces:struct<length:int,text:string>,__starts:int>>")
     assert chunking._unpacked(none).count() == 0
+
+
+def test_words_are_encoded_once_and_counts_stay_those_of_whole_texts():
+    import random
+    from types import SimpleNamespace
+
+    from passagework.functions import tokens
+
+    tokenizer = tokens._tokenizer(tokens.default_vocabulary())
+    own, parts = random.Random(3), ["a", "b", "Zé", "22", " ", "  ", " ", "\n", "\n\n", "\t", "\x1c", "\x85", ".", "'s", "'", "!?", "<|endoftext|>", "<|endof", "漢字", "🙂", "\r\n"]
+    texts = ["".join(own.choices(parts, k=own.randint(0, 12))) for _ in range(20_000)]
+    counts = tokens._Counter(tokenizer)
+    assert counts.apart and counts(texts) == tokens._sizes(tokenizer, texts)
+    seen = []
+
+    def encode(text, **options):
+        seen.append(text)
+        return tokenizer.encode(text, **options)
+
+    counts = tokens._Counter(tokenizer)
+    counts.bare.tokenizer = counts.after_blank.tokenizer = SimpleNamespace(encode=encode)
+    text = "One two. Three two.\nOne two. "
+    assert counts([text] * 9 + ["two.", "Three two. "]) == tokens._sizes(tokenizer, [text] * 9 + ["two.", "Three two. "])
+    assert len(seen) == len(set(seen)) and sum(map(len, seen)) < 2 * len(text)
