@@ -185,3 +185,44 @@ def test_repeated_page_numbers_give_every_chunk_once(spark, tmp_path):
         report, _ = ingest.ingest_found(found, path, "x", [handler], runs, embedding.hashing_provider(8), 8, "m", {"txt": "TEXT"}, now)
         assert sorted(r["content"] for r in ingest.stored_chunks(spark, path).collect()) == ["first text", "other text"]
         assert sorted(r["inserted"] for r in report.collect()) == [1, 1]
+
+
+def test_large_files_are_compacted_as_they_lie_and_replaced_folders_go(spark, taken, monkeypatch):
+    import os
+
+    take, path, _ = taken
+    for n in range(3):
+        take(f"b{n}", {f"f{n}": f"Text number {n}. " * 40, "same": "Same."})
+    rows = sorted(map(str, ingest.stored_chunks(spark, path).drop("created_at").collect()))
+    ways, written = [], tables.commit_batch
+
+    def commit(*given, **options):
+        ways.append(options["dealt"])
+        return written(*given, **options)
+
+    monkeypatch.setattr(ingest, "commit_batch", commit)
+    monkeypatch.setattr(ingest, "COMPACT_BYTES", 1)
+    assert ingest.compact(spark, path, "one") and ways == [("chunks",)]
+    assert len(os.listdir(f"{path}/chunks")) == 4
+    ingest.remove_replaced(spark, path)
+    for table in (*tables.TABLES, "takes"):
+        assert [f for f in os.listdir(f"{path}/{table}") if f.startswith("batch=")] == ["batch=one"]
+    assert sorted(map(str, ingest.stored_chunks(spark, path).drop("created_at").collect())) == rows
+    assert documents(spark, path).keys() == {"f0.txt", "f1.txt", "f2.txt", "same.txt"}
+    monkeypatch.setattr(ingest, "COMPACT_BYTES", 1 << 40)
+    take("b4", {"f4": "New."})
+    assert ingest.compact(spark, path, "two") and ways[-1] == ()
+    assert len(ingest.stored_chunks(spark, path).collect()) == len(rows) + 1
+
+
+def test_a_run_leaves_no_texts_in_the_scratch_folder(spark, taken):
+    import os
+
+    from passagework.session import scratch_root
+
+    take, path, _ = taken
+    root = scratch_root(spark).removeprefix("file:")
+    before = set(os.listdir(root))
+    assert take("1", {"a": "One two. " * 60})["a.txt"][1] > 1
+    left = {f.rpartition("-")[0] for f in set(os.listdir(root)) - before}
+    assert "facts" in left and not left & {"pages", "chunks"}
